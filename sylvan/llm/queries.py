@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, packing, quality, rules, secrets, tokens, warc
+from . import decontam, langid, lmscore, neardup, packing, quality, rules, secrets, tokens, warc
 from .common import read_documents
 
 
@@ -24,6 +24,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return lmscore.score_language(read_documents(spark, sf_dir), labels, _path("byte_bpe_50k.json"), _path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -41,6 +46,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_documents(spark, sf_dir), width=2)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), read_documents(spark, sf_dir))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -83,7 +92,18 @@ SELECT doc_id, item_id, n_shared, n_item, CAST(n_shared AS DOUBLE) / n_item AS c
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_best_fit_packing, op2_quality_classifier, op4_warc_bundles, op5_secret_scans, op6_quality_rules, op7_minhash_near_dedup, op9_benchmark_decontamination, op10_token_counts)
+    every = (
+        op1_best_fit_packing,
+        op2_quality_classifier,
+        op3_lm_scoring,
+        op4_warc_bundles,
+        op5_secret_scans,
+        op6_quality_rules,
+        op7_minhash_near_dedup,
+        op8_language_id,
+        op9_benchmark_decontamination,
+        op10_token_counts,
+    )
     return {f.__name__: f for f in every}
 
 
