@@ -1,17 +1,19 @@
 """MinHash near-duplicate detection (operator 7) with tensored banding.
 
-A document has ``halves`` half keys of ``rows`` minhashes each; every pair of
+A document has ``HALVES`` half keys of ``ROWS`` minhashes each; every pair of
 half keys forms the key of one table.  12 half keys of two minhashes give 66
 tables of four minhashes from 24 computed ones, where separate tables would
 need 264.  Documents with a Jaccard similarity of 0.8 share a table unless
 fewer than two half keys agree, which happens once in about 9,000 pairs at
-exactly 0.8, and once in 300,000 at 0.85.
-
-Candidates are verified on the full sets of 64-bit shingle hashes.  No bucket
-is expanded into all its pairs at once: documents with equal sets collapse
-first; in each bucket the most central document is compared with the others;
-and only documents of a bucket that are still in different components are
-compared with each other.
+exactly 0.8, and once in 160,000 at 0.85.
+
+Candidates are verified on the full sets of 64-bit shingle hashes.  Before
+that, an exact bound on the intersection is taken from bitmaps: a bit that only
+one of two documents has stands for at least one shingle that only it has.  No
+bucket is handed on as all its pairs: documents with equal sets collapse first;
+in each bucket the most central document is compared with the others; then
+only documents of a bucket that are still in different components meet, once
+for all tables they share, and only pairs within the bound leave the join.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from .common import distinct_by_group, map_texts, materialize, mix, shingle_hash
 from .components import connected_components
 
 HALVES, ROWS = 12, 2
+#: Bits of the bitmaps, in numbers of 64.
+BITMAP = 32
+_PAIRS = [(i, j) for i in range(HALVES) for j in range(i + 1, HALVES)]
 
 
 def minhashes(values: np.ndarray, counts: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
@@ -44,67 +49,65 @@ def minhashes(values: np.ndarray, counts: np.ndarray, n: int, seed: int = 1) ->
 
 def signatures(df: DataFrame, width: int, text_col: str, id_col: str) -> DataFrame:
     """One row per document: id, n (distinct shingles), s1 and s2 (a digest of
-    the set), halves, sig (32 bits of each minhash)."""
+    the set), halves (32 bits of each half key)."""
 
     def sign(texts: list[bytes | None]) -> list[pa.Array]:
         import xxhash
 
         values, counts = distinct_by_group(*shingle_hashes(texts, width))
         ends = np.cumsum(counts)
-        digest = np.array([xxhash.xxh3_128_digest(values[e - c : e].tobytes()) for e, c in zip(ends, counts, strict=True)], dtype="S16")
-        pairs = np.frombuffer(b"".join(d.ljust(16, b"\0") for d in digest.tolist()), dtype=np.int64).reshape(-1, 2)
+        digests = b"".join(xxhash.xxh3_128_digest(values[e - c : e].tobytes()) for e, c in zip(ends, counts, strict=True))
+        pairs = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
         m = minhashes(values, counts, HALVES * ROWS)
         half = np.zeros((len(texts), HALVES), dtype=np.uint64)
         for r in range(ROWS):
             half = mix(half + m[:, r::ROWS] + np.uint64(r + 1))
-        sig = (m >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        return [
-            pa.array(counts, pa.int64()),
-            pa.array(pairs[:, 0]),
-            pa.array(pairs[:, 1]),
-            pa.array(list(half.view(np.int64)), pa.list_(pa.int64())),
-            pa.array(list(sig), pa.list_(pa.int32())),
-        ]
-
-    got = map_texts(df, text_col, [id_col], "n bigint, s1 bigint, s2 bigint, halves array<bigint>, sig array<int>", sign)
+        halves = (half >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return [pa.array(counts, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(list(halves), pa.list_(pa.int32()))]
+
+    got = map_texts(df, text_col, [id_col], "n bigint, s1 bigint, s2 bigint, halves array<int>", sign)
     return got.withColumnRenamed(id_col, "id") if id_col != "id" else got
 
 
 def shingle_sets(df: DataFrame, width: int, text_col: str, id_col: str) -> DataFrame:
-    """(id, n, shingles): the distinct shingle hashes of each document."""
+    """(id, n, shingles, bitmap): the distinct shingle hashes of each document,
+    and the bits that they set."""
 
     def collect(texts: list[bytes | None]) -> list[pa.Array]:
         values, counts = distinct_by_group(*shingle_hashes(texts, width))
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        return [pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))]
+        bits = np.zeros((len(texts), 64 * BITMAP), dtype=bool)
+        bits[np.repeat(np.arange(len(texts)), counts), (values % np.uint64(64 * BITMAP)).astype(np.int64)] = True
+        bitmap = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+        return [pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64))), pa.array(list(bitmap), pa.list_(pa.int64()))]
 
-    got = map_texts(df, text_col, [id_col], "n bigint, shingles array<bigint>", collect)
+    got = map_texts(df, text_col, [id_col], "n bigint, shingles array<bigint>, bitmap array<bigint>", collect)
     return got.withColumnRenamed(id_col, "id") if id_col != "id" else got
 
 
 def table_keys() -> Column:
-    """The tables' keys: one for each pair of half keys."""
-    pairs = [(i, j) for i in range(HALVES) for j in range(i + 1, HALVES)]
-    return F.array(*[F.xxhash64(F.lit(k), F.col("halves")[i], F.col("halves")[j]) for k, (i, j) in enumerate(pairs)])
+    """The tables' keys, one for each pair of half keys, with the table's number."""
+    return F.array(*[F.struct(F.xxhash64(F.lit(k), F.col("halves")[i], F.col("halves")[j]).alias("key"), F.lit(k).alias("table")) for k, (i, j) in enumerate(_PAIRS)])
+
 
+def _sum(terms: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, terms)
 
-def _least_agreement(percent: int) -> int:
-    """So many of the minhashes agree in all but one of a million pairs with
-    the similarity that is asked for."""
-    from math import comb
 
-    n, p, total = HALVES * ROWS, percent / 100, 0.0
-    for k in range(n + 1):
-        total += comb(n, k) * p**k * (1 - p) ** (n - k)
-        if total > 1e-6:
-            return k
-    return n
+def _in_bound(percent: int) -> Column:
+    """Whether sizes and bitmaps of a and b allow a link; both bounds are exact."""
+    only = lambda x, y: _sum([F.bit_count(F.col(f"bitmap_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"bitmap_{y}")[i]))) for i in range(BITMAP)])
+    common = F.least(F.col("n_a") - only("a", "b"), F.col("n_b") - only("b", "a"))
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return sizes & ((100 + percent) * common >= percent * (F.col("n_a") + F.col("n_b")))
 
 
-def _likely(percent: int) -> Column:
-    """Whether sizes (exactly) and minhashes (but for one in a million) allow a link of a and b."""
-    agree = reduce(lambda x, y: x + y, [(F.col("sig_a")[k] == F.col("sig_b")[k]).cast("int") for k in range(HALVES * ROWS)])
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (agree >= _least_agreement(percent))
+def _first_meeting() -> Column:
+    """Whether this is the first of the tables that a and b share: no half key
+    before the table's second one agrees, but its first one."""
+    before = F.array(*[F.lit(((1 << j) - 1) & ~(1 << i)) for i, j in _PAIRS])
+    agree = _sum([F.when(F.col("halves_a")[k] == F.col("halves_b")[k], 1 << k).otherwise(0) for k in range(HALVES)])
+    return agree.bitwiseAND(F.element_at(before, F.col("table_a") + 1)) == 0
 
 
 def _side(df: DataFrame, x: str) -> DataFrame:
@@ -131,32 +134,33 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text_col:
     """
     signed = materialize(signatures(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), width, text_col, id_col), "signatures")
     usable = signed.where("n > 0 and id is not null")
-    classes = materialize(usable.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.first("sig").alias("sig")), "classes")
+    classes = materialize(usable.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("halves").alias("halves")), "classes")
 
-    keyed = classes.select("id", F.explode(table_keys()).alias("key"))
+    keyed = classes.select("id", F.inline(table_keys()))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = materialize(keyed.join(sizes, "key"), "shared")  # (key, id, size): buckets of two and more
+    shared = materialize(keyed.join(sizes, "key"), "shared")  # (key, id, table, size): buckets of two and more
 
     ids = shared.select("id").distinct()
-    of_class = classes.join(ids, "id", "left_semi").select("id", "n", "sig")
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, "id", "left_semi")
     sets = materialize(shingle_sets(texts, width, "text", "id"), "sets")
+    bounds = sets.select("id", "n", "bitmap")
 
     # In each bucket, the document with the most company is compared with all others.
     company = shared.groupBy("id").agg(F.sum("size").alias("company"))
     centre = shared.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("least"), "id")).alias("c"))
     stars = shared.join(centre.select("key", F.col("c.id").alias("id_a")), "key").where("id <> id_a").select("id_a", F.col("id").alias("id_b")).distinct()
-    stars = stars.join(_side(of_class, "b"), "id_b").join(_side(of_class, "a"), "id_a").where(_likely(percent)).select("id_a", "id_b")
+    stars = stars.join(_side(bounds, "b"), "id_b").join(_side(bounds, "a"), "id_a").where(_in_bound(percent)).select("id_a", "id_b")
     links = materialize(_verified(stars, sets, percent), "links")
 
     # Documents of a bucket that are in different components now are compared with each other.
     part = connected_components(links, "id_a", "id_b")
-    placed = shared.join(part, shared.id == part.node, "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    placed = shared.join(part, shared.id == part.node, "left").select("key", "table", "id", F.coalesce("component", "id").alias("part"))
     open_keys = placed.groupBy("key").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2").select("key")
-    loose = materialize(placed.join(open_keys, "key").join(of_class, "id"), "loose")
-    pairs = _side(loose, "a").join(_side(loose, "b"), "key").where((F.col("part_a") < F.col("part_b")) & _likely(percent)).select("id_a", "id_b").distinct()
-    more = _verified(pairs, sets, percent)
-    links = materialize(links.unionByName(more), "links")
+    loose = placed.join(open_keys, "key").join(bounds, "id").join(classes.select("id", "halves"), "id")
+    loose = materialize(loose, "loose")
+    meet = (F.col("part_a") < F.col("part_b")) & _first_meeting() & _in_bound(percent)
+    pairs = _side(loose, "a").join(_side(loose, "b"), "key").where(meet).select("id_a", "id_b").distinct()
+    links = materialize(links.unionByName(_verified(pairs, sets, percent)), "links")
 
     whole = connected_components(links, "id_a", "id_b")
     roots = classes.join(whole, classes.id == whole.node, "left").select("s1", "s2", F.coalesce("component", "id").alias("root"))
