@@ -13,6 +13,7 @@ they tell how a text is written, in any language.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,7 +57,7 @@ REPEAT_WEIGHT = 4
 
 def term_counts(texts: list[bytes | None]) -> np.ndarray:
     """A row of term counts for each text."""
-    out = np.zeros((len(texts), TERMS))
+    out = np.zeros((len(texts), TERMS), dtype=np.float32)
     sizes = np.array([len(t or b"") for t in texts], dtype=np.int64)
     if sizes.sum():
         c = _CLASS[np.frombuffer(b"".join(t or b"" for t in texts), dtype=np.uint8)]
@@ -121,6 +122,19 @@ class LatentModel:
         return out
 
 
+def _parts(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[list[bytes | None]]:
+    """Lists of texts of at most ``most`` bytes, so that little is counted at once."""
+    part, size = [], 0
+    for t in texts:
+        if part and (size + len(t or b"") > most or len(part) == 256):
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or b"")
+    if part:
+        yield part
+
+
 def _scaled(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Square roots of the terms' shares, which a text's length doesn't change, weighted."""
     total = counts[:, :_N].sum(axis=1, keepdims=True)
@@ -130,19 +144,19 @@ def _scaled(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def fit_latent(texts: list[bytes | None], labels: list[int], dimensions: int = DIMENSIONS, seed: int = 7) -> LatentModel:
     """Term weights, the latent basis and the sample's vectors in it."""
     y = np.array(labels, dtype=np.float64)
-    counts = term_counts(texts) if texts else np.zeros((0, TERMS))
-    present = (counts > 0).sum(axis=0)
-    weights = 1 + np.log((len(texts) + 1) / (present + 1))
+    ones = np.ones(TERMS, dtype=np.float32)
+    x = np.concatenate([np.zeros((0, TERMS), np.float32), *(_scaled(term_counts(part), ones) for part in _parts(texts))])
+    weights = (1 + np.log((len(texts) + 1) / ((x > 0).sum(axis=0) + 1))).astype(np.float32)
     weights[_N:] *= REPEAT_WEIGHT
-    x = _scaled(counts, weights)
+    x *= weights
     rng = np.random.default_rng(seed)
-    q = rng.standard_normal((TERMS, min(dimensions + 8, TERMS)))
+    q = rng.standard_normal((TERMS, min(dimensions + 8, TERMS))).astype(np.float32)
     for _ in range(4):
         q, _ = np.linalg.qr(x.T @ (x @ q)) if len(x) else (q, None)
     small = x @ q
     _, _, v = np.linalg.svd(small, full_matrices=False) if len(x) else (None, None, np.eye(q.shape[1]))
     model = LatentModel(weights, q @ v[:dimensions].T, np.zeros((0, 0), np.float32), y)
-    model.vectors = model.vectors_of(texts) if len(texts) else np.zeros((0, dimensions), np.float32)
+    model.vectors = np.concatenate([np.zeros((0, model.basis.shape[1]), np.float32), *(model.vectors_of(part) for part in _parts(texts))])
     return model
 
 
@@ -170,7 +184,7 @@ def score_quality(df: DataFrame, labels: DataFrame, threshold: float = 0.3, samp
     Of several labels of one id the largest counts.
     """
     model = fit_latent(*labelled_sample(df, labels, n=sample, text_col=text_col, id_col=id_col))
-    got = map_texts(df, text_col, [id_col], "score double", lambda texts: [pa.array(model.scores(texts))])
+    got = map_texts(df, text_col, [id_col], "score double", lambda texts: [pa.array(np.concatenate([model.scores(part) for part in _parts(texts)]))])
     return got.select(F.col(f"`{id_col}`"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -178,5 +192,5 @@ def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
     """The rows of ``df`` whose score reaches ``threshold``, with their columns."""
     model = fit_latent(*labelled_sample(df, labels, n=sample, text_col=text_col, id_col=id_col))
     name = fresh(df, "score")
-    got = map_texts(df, text_col, df.columns, f"`{name}` double", lambda texts: [pa.array(model.scores(texts))])
+    got = map_texts(df, text_col, df.columns, f"`{name}` double", lambda texts: [pa.array(np.concatenate([model.scores(part) for part in _parts(texts)]))])
     return got.where(F.col(f"`{name}`") >= threshold).select(*[f"`{c}`" for c in df.columns])
