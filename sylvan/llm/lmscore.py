@@ -110,7 +110,8 @@ def score_language(
     good = labels.where(F.col(f"`{label_col}`") == 1).select(F.col(f"`{id_col}`").alias("__good")).distinct()
     flag = fresh(df, "is_target")
     both = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    both = both.join(good, both[id_col] == good["__good"], "left").select(f"`{text_col}`", F.col("__good").isNotNull().alias(flag))
+    # Merged, whatever the size of the labels: a plan that turns at some size can't be foretold.
+    both = both.join(good.hint("merge"), both[id_col] == good["__good"], "left").select(f"`{text_col}`", F.col("__good").isNotNull().alias(flag))
     counts = materialize(count_models(both, make, vocabulary, text_col, flag), "ngrams")
     rows = counts.toArrow()  # at most SLOTS + vocabulary rows
     models = Models(*(rows.column(c).to_numpy() for c in ("slot", "target", "background")), vocabulary)
