@@ -35,7 +35,7 @@ class Band:
 #: By script.  Latin prose in a vocabulary of 32,000 pieces has two to five
 #: characters a token; scripts that it covers badly fall back to bytes.
 BANDS = {
-    "latin": Band((1.9, 7.0), 0.10, (5.0, 12.0)),
+    "latin": Band((1.9, 7.0), 0.10, (4.5, 12.0)),
     "cyrillic": Band((1.2, 6.0), 0.15, (4.5, 12.0)),
     "greek": Band((0.8, 5.0), 0.30, (4.0, 12.0)),
     "cjk": Band((0.3, 3.0), 0.80, (4.0, 12.0)),
