@@ -1,4 +1,4 @@
-"""Language identification of web pages (operator 8): Bayesian evidence fusion.
+"""Language identification (operator 8): Bayesian evidence fusion.
 
 For every page the log likelihoods of its visible text under each language (a
 naive Bayes over hashed byte trigrams) are added to the log likelihoods of the
@@ -6,7 +6,8 @@ declared markup language and of the address suffix, and to a prior of its host.
 How far declarations and suffixes can be trusted, and the priors, come from the
 pages themselves, by grouped sums of what their texts say; a host's prior is
 smoothed by its domain's and that by the corpus's, without the page's own
-share.
+share.  Plain documents take part with their text and with the prior of their
+source, which stands for a host.
 """
 
 from __future__ import annotations
@@ -95,21 +96,42 @@ def learn_texts(documents: DataFrame, n: int = SAMPLE, text_col: str = "text", l
     return TextModel([bytes(r.text) for r in rows], [r.lang for r in rows])
 
 
+_SAID = "host string, domain string, suffix string, declared string, ll array<double>"
+
+
 def page_evidence(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, host, domain, suffix, declared, ll): what each page says by itself."""
-    picked = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("binary").alias("html"))
-    schema = T.StructType([T.StructField("page_id", picked.schema["page_id"].dataType), *T.StructType.fromDDL("host string, domain string, suffix string, declared string, ll array<double>").fields])
+    """(doc_id, page_id, host, domain, suffix, declared, ll): what each page says by itself."""
+
+    def one(url: bytes | None, body: bytes | None) -> tuple:
+        page = (body or b"").decode("utf-8", "replace")
+        return *host_parts(url.decode("utf-8", "replace") if url else None), declared_language(page), model.likelihoods(visible_text(page).encode("utf-8", "replace"))
+
+    return _evidence(pages.select(F.lit(None).cast("bigint").alias("doc_id"), F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("at"), F.col(f"`{html_col}`").alias("body")), one)
+
+
+def document_evidence(documents: DataFrame, model: TextModel, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The same of documents: their source is host and domain."""
+
+    def one(source: bytes | None, body: bytes | None) -> tuple:
+        host = "source:" + source.decode("utf-8", "replace") if source is not None else None
+        return host, host and "source:", None, None, model.likelihoods(body or b"")
+
+    return _evidence(documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.lit(None).cast("bigint").alias("page_id"), F.col(f"`{source_col}`").alias("at"), F.col(f"`{text_col}`").alias("body")), one)
+
+
+def _evidence(rows: DataFrame, one) -> DataFrame:
+    picked = rows.withColumns({c: F.col(c).cast("binary") for c in ("at", "body")})
+    schema = T.StructType([*picked.schema.fields[:2], *T.StructType.fromDDL(_SAID).fields])
     names = schema.fieldNames()
 
     def evidence(batches):
         for b in batches:
-            for start, n in byte_slices(b.column(2)):
-                rows = []
-                for url, page in zip(b.column(1).slice(start, n).to_pylist(), b.column(2).slice(start, n).to_pylist(), strict=True):
-                    page = (page or b"").decode("utf-8", "replace")
-                    rows.append((*host_parts(url), declared_language(page), model.likelihoods(visible_text(page).encode("utf-8", "replace"))))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, n), *(pa.array(c, pa.string()) for c in columns[:4]), pa.array([x.tolist() for x in columns[4]], pa.list_(pa.float64()))], names=names)
+            for start, n in byte_slices(b.column(3)):
+                got = [one(at, body) for at, body in zip(b.column(2).slice(start, n).to_pylist(), b.column(3).slice(start, n).to_pylist(), strict=True)]
+                columns = list(zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(start, n), b.column(1).slice(start, n), *(pa.array(c, pa.string()) for c in columns[:4]), pa.array([x.tolist() for x in columns[4]], pa.list_(pa.float64()))], names=names
+                )
 
     return picked.mapInArrow(evidence, schema)
 
@@ -119,23 +141,25 @@ def _sums(df: DataFrame, key: str, langs: range, stem: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(f"{stem}_n"), *[F.sum(f"p{i}").alias(f"{stem}_{i}") for i in langs])
 
 
-def identify_pages(pages: DataFrame, documents: DataFrame, sample: int = SAMPLE, model: TextModel | None = None) -> DataFrame:
-    """One row per page: page_id, lang, confidence, text_lang, declared_lang,
-    suffix, host.
+def identify(pages: DataFrame | None, documents: DataFrame, sample: int = SAMPLE, model: TextModel | None = None, with_documents: bool = True) -> DataFrame:
+    """One row per page and document: doc_id (null for pages), page_id (null
+    for documents), lang, confidence, text_lang, declared_lang, suffix, host.
 
-    A null or empty page has no text and no declaration, a null or odd url no
-    host: they then speak for no language, and the prior decides.  Ties go to
-    the first language by name.  A null id is handed on; repeated rows count as
-    often as they stand there.
+    A null or empty text says nothing, a null or odd url has no host: the prior
+    then decides.  Ties go to the first language by name.  A null id is handed
+    on; repeated rows count as often as they stand there.  Without labelled
+    texts to learn from, lang is null.
     """
     model = model or learn_texts(documents, sample)
     langs = model.langs
+    parts = [page_evidence(pages, model)] if pages is not None else []
+    parts += [document_evidence(documents, model)] if with_documents else []
+    said = reduce(DataFrame.unionByName, parts)
     if not langs:
-        return pages.selectExpr("page_id", "cast(null as string) lang", "0D confidence", "cast(null as string) text_lang", "cast(null as string) declared_lang", "cast(null as string) suffix", "cast(null as string) host")
+        return said.selectExpr("doc_id", "page_id", "cast(null as string) lang", "0D confidence", "cast(null as string) text_lang", "declared declared_lang", "suffix", "host")
     k = range(len(langs))
-    said = page_evidence(pages, model)
     total = reduce(lambda a, b: a + b, [F.exp(F.col("ll")[i]) for i in k])
-    said = materialize(said.select("page_id", "host", "domain", "suffix", "declared", *[F.col("ll")[i].alias(f"ll{i}") for i in k], *[(F.exp(F.col("ll")[i]) / total).alias(f"p{i}") for i in k]), "evidence")
+    said = materialize(said.select("doc_id", "page_id", "host", "domain", "suffix", "declared", *[F.col("ll")[i].alias(f"ll{i}") for i in k], *[(F.exp(F.col("ll")[i]) / total).alias(f"p{i}") for i in k]), "evidence")
 
     every = said.agg(F.count("*").alias("n"), *[F.sum(f"p{i}").alias(f"s{i}") for i in k]).first()
     prior = [((every[f"s{i}"] or 0.0) + 1) / (every["n"] + len(langs)) for i in k]
@@ -163,11 +187,12 @@ def identify_pages(pages: DataFrame, documents: DataFrame, sample: int = SAMPLE,
     def best(stem: str) -> Column:
         return F.array_max(F.array(*[F.struct(F.col(f"{stem}{i}").alias("v"), F.lit(-i).alias("o"), F.lit(langs[i]).alias("lang")) for i in k]))
 
-    scored = joined.select("page_id", "host", "suffix", "declared", *[F.col(f"ll{i}") for i in k], *[posterior(i).alias(f"q{i}") for i in k])
+    scored = joined.select("doc_id", "page_id", "host", "suffix", "declared", *[F.col(f"ll{i}") for i in k], *[posterior(i).alias(f"q{i}") for i in k])
     top = F.greatest(*[F.col(f"q{i}") for i in k]) if len(langs) > 1 else F.col("q0")
     mass = reduce(lambda a, b: a + b, [F.exp(F.col(f"q{i}") - top) for i in k])
     some_text = reduce(lambda a, b: a | b, [F.col(f"ll{i}") < 0 for i in k])
     return scored.select(
+        "doc_id",
         "page_id",
         best("q")["lang"].alias("lang"),
         (F.lit(1.0) / mass).alias("confidence"),
@@ -176,3 +201,8 @@ def identify_pages(pages: DataFrame, documents: DataFrame, sample: int = SAMPLE,
         "suffix",
         "host",
     )
+
+
+def identify_pages(pages: DataFrame, documents: DataFrame, sample: int = SAMPLE, model: TextModel | None = None) -> DataFrame:
+    """:func:`identify` of pages alone."""
+    return identify(pages, documents, sample, model, with_documents=False).drop("doc_id")

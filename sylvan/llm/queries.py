@@ -47,7 +47,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), read_documents(spark, sf_dir))
+    return langid.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), read_documents(spark, sf_dir))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
