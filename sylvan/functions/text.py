@@ -9,12 +9,13 @@ from urllib.parse import quote
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_SAFE = re.compile(r"[A-Za-z0-9\-_.~ ]*\Z").match
 _ENCODED = re.compile(rb"%([0-9A-Fa-f]{2})")
 
 
 def percent_encode(s: str) -> str:
     """All bytes but letters, digits, ``-_.~`` and space as ``%XX``."""
-    return quote(s, safe=" ")
+    return s if _SAFE(s) else quote(s, safe=" ")
 
 
 def percent_decode(s: str) -> str:
