@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one call of a batch function gets, unless one text alone is longer.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -26,7 +26,6 @@ HASHES = 48
 WIDTH = 5
 #: Items that one pass over the documents takes; about 1 kB of index each.
 ITEMS_PER_PASS = 50_000
-_BITS = 18
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
@@ -58,12 +57,13 @@ class ItemIndex:
         #: block length -> for each hash function: bitmap, sorted minhashes, their items
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for c, items in sorted(by_class.items()):
+            bits = min(18, max(10, (16 * len(items)).bit_length()))  # about one window in 16 or more goes on to the exact lookup
             tables = []
             for j in range(HASHES):
                 low = np.array([(self.sets[i] * (k[2 * j] | np.uint64(1)) ^ k[2 * j + 1]).min() for i in items], dtype=np.uint64)
                 order = np.argsort(low, kind="stable")
-                bitmap = np.zeros(1 << _BITS, dtype=bool)
-                bitmap[(low >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+                bitmap = np.zeros(1 << bits, dtype=bool)
+                bitmap[(low >> np.uint64(64 - bits)).astype(np.int64)] = True
                 tables.append((bitmap, low[order], np.array(items)[order]))
             self.classes[1 << c] = tables
 
@@ -94,7 +94,9 @@ class ItemIndex:
                 joined = np.where(doc[1:] == doc[:-1], np.minimum(low[1:], low[:-1]), low[:-1])
                 window = np.append(joined, low[-1])
                 bitmap, keys, items = self.classes[b][j]
-                for w in np.flatnonzero(bitmap[(window >> np.uint64(64 - _BITS)).astype(np.int64)]):
+                shift = np.uint64(64 - (len(bitmap).bit_length() - 1))
+                hit = np.flatnonzero(bitmap[(window >> shift).astype(np.int64)])
+                for w in hit[np.isin(window[hit], keys)]:
                     i = int(np.searchsorted(keys, window[w]))
                     while i < len(keys) and keys[i] == window[w]:
                         found.add((int(doc[w]), int(items[i])))

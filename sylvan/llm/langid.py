@@ -80,7 +80,7 @@ class TextModel:
     def likelihoods(self, text: bytes) -> np.ndarray:
         """Log likelihoods relative to the best language, tempered to EVIDENCE trigrams."""
         at = trigram_buckets(text)
-        if not len(at):
+        if not len(at) or not self.langs:
             return np.zeros(len(self.langs))
         ll = self.log_p[:, at].sum(axis=1, dtype=np.float64) * min(1.0, EVIDENCE / len(at))
         return ll - ll.max()

@@ -47,11 +47,7 @@ class ByteBpe:
     """
 
     def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(json_path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
+        self.json_path = json_path
         self.fast = None
         if ranks_path:
             import base64
@@ -62,6 +58,16 @@ class ByteBpe:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def slow(self):
+        """Only made where it is needed: it takes 100 MB."""
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_file(self.json_path)
+        slow.no_truncation()
+        slow.no_padding()
+        return slow
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast and _END not in text and (text.isascii() or not _UNUSUAL.search(text)):
             return self.fast.encode_to_numpy(text, disallowed_special=())
