@@ -75,7 +75,9 @@ def test_unresolved_names_match_nothing():
 
 def test_alternatives_and_case():
     body = "grammar input:\n    imatch 'ab' | 'Ä':\n        out.create('n', '$0')\n"
-    assert tree(body, "aBä") == {"n": [{"#text": "aB"}, {"#text": "ä"}]}
+    assert tree(body, "aBÄ") == {"n": [{"#text": "aB"}, {"#text": "Ä"}]}
+    assert run(body, "ä").error, "a literal in front ignores the case of ASCII letters only"
+    assert tree("grammar input:\n    imatch /Ä/ 'ö':\n        out.create('n', '$0$1')\n", "äÖ") == {"n": {"#text": "äÖ"}}
 
 
 def test_when_consumes_nothing():
@@ -87,6 +89,16 @@ def test_when_without_progress_ends():
     assert run("grammar input:\n    when 'x':\n        out.create('n')\n", "x").error.startswith("grammar 'input' stopped at line 1")
 
 
+def test_consumed_counts_matches_and_skips():
+    body = "grammar sub:\n    match /\\w/:\n        do.return()\ngrammar input:\n    when 'x':\n        sub()\n    skip /é/\n    match 'm':\n        sub()\n    match 'f' /./:\n        do.next()\n"
+    assert run(body, "xéma").consumed == 4 and run(body, "fz").consumed == 2
+    assert run("grammar input:\n    do.fail('no')\n", "abc").consumed == 0
+
+
+def test_a_define_that_is_a_capture_has_no_value():
+    assert tree("define c $0\ngrammar input:\n    match 'x':\n        out.create('n', c)\n", "x") == {"n": {}}
+
+
 def test_skip():
     assert tree("grammar input:\n    skip ' '\n    skip 7\n    skip /#.*/\n    match /\\w/:\n        out.create('n', '$0')\n", " 7a# z") == {"n": {"#text": "a"}}
 
