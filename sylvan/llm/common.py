@@ -85,6 +85,8 @@ def map_texts(
     returned once per task, if given.
     """
     inner = StructType.fromDDL(out)
+    if clash := {c.lower() for c in carry} & {f.name.lower() for f in inner.fields}:
+        raise ValueError(f"columns can't be named like those of the result: {sorted(clash)}")
     picked = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("binary").alias("__text"))
     schema = StructType([*(f for f in picked.schema.fields if f.name != "__text"), *inner.fields])
     names = [f.name for f in schema.fields]
