@@ -8,13 +8,18 @@ holds without any parser.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import linewise, parse
+from .operators import linewise, parse, sql
 from .plans.grammar import Grammar
+from .sources import sinks
+from .sources.files import read_texts
+from .streaming.parse import stream_nodes
 
 BIG_WINDOW = 1 << 24
 
@@ -453,6 +458,21 @@ grammar input(base):
     "captures_table": Query(
         ("events",), _KV, _lines("    match num ' ' word nl:\n        out.create('e')\n"), "SELECT k, match_seq, value FROM {n} WHERE idx = 2", f"SELECT user_id AS k, CAST(i AS BIGINT) AS match_seq, event_type AS value FROM ({_EVENTS})", how="captures",
     ),
+    "execution_json": Query(
+        ("events",), _KV, _lines("    match num ' ' word nl:\n        out.create('e')\n"),
+        "SELECT k, cast(get_json_object(execution, '$.consumed') as bigint) AS consumed, cast(size(from_json(get_json_object(execution, '$.traces'), 'array<string>')) as bigint) AS n FROM {n}",
+        "SELECT user_id AS k, CAST(sum(strlen(event_id || ' ' || event_type || chr(10))) AS BIGINT) AS consumed, count(*) AS n FROM events GROUP BY user_id", how="execution",
+    ),
+    "execution_xml": Query(
+        ("events",), _KV, _lines("    match num ' ' word nl:\n        out.create('e')\n"),
+        "SELECT k, cast(regexp_extract(execution, 'consumed=\"(\\\\d+)\"', 1) as bigint) AS consumed, cast(size(split(execution, '<trace>')) - 1 as bigint) AS n FROM {n}",
+        "SELECT user_id AS k, CAST(sum(strlen(event_id || ' ' || event_type || chr(10))) AS BIGINT) AS consumed, count(*) AS n FROM events GROUP BY user_id", how="execution", fmt="xml",
+    ),
+    "execution_yaml": Query(
+        ("events",), _KV, _lines("    match num ' ' word nl:\n        out.create('e')\n"),
+        "SELECT k, cast(regexp_extract(execution, '^consumed: (\\\\d+)\n', 1) as bigint) AS consumed, cast(size(split(execution, '\n  - match consumed')) - 1 as bigint) AS n FROM {n}",
+        "SELECT user_id AS k, CAST(sum(strlen(event_id || ' ' || event_type || chr(10))) AS BIGINT) AS consumed, count(*) AS n FROM events GROUP BY user_id", how="execution", fmt="yaml",
+    ),
     # --- serializers and the node table ---
     "json_output": Query(
         ("nation",), grouped("nation", "n_regionkey", "n_nationkey", "concat(n_nationkey, ' ', n_name, '\n')"), _lines("    match num ' ' rest nl:\n        out.create('n?id=\"$0\"', '$2')\n"), "SELECT k, output FROM {n}",
@@ -526,31 +546,68 @@ grammar input(base):
 }
 
 
-def streaming_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parse a stream of the events table's file and read back what it appended."""
-    import posixpath
-    import tempfile
-    import uuid
+_EVENT = _lines("    match num ' ' word nl:\n        out.create('e?id=\"$0\"', '$2')\n")
+
 
-    from .streaming.parse import stream_nodes
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sylvan-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sylvan-stream-")
-    base = posixpath.join(base, uuid.uuid4().hex)
+
+def streaming_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parse a stream of the events and read back what it appended."""
+    base = _scratch(spark)
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    source = f"{base}/in"
-    table.selectExpr("event_id", "concat(event_id, ' ', event_type, '\n') AS value").write.parquet(source)
-    stream = spark.readStream.schema("event_id bigint, value string").parquet(source)
-    g = Grammar.compile(_lines("    match num ' ' word nl:\n        out.create('e?id=\"$0\"', '$2')\n"))
-    stream_nodes(stream, g, ["event_id"], f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    table.selectExpr("event_id", "concat(event_id, ' ', event_type, '\n') AS value").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("event_id bigint, value string").parquet(f"{base}/in")
+    stream_nodes(stream, Grammar.compile(_EVENT), ["event_id"], f"{base}/out", f"{base}/checkpoint").awaitTermination()
     got = spark.read.parquet(f"{base}/out")
     return got.where("name = 'e'").selectExpr("event_id", "attrs[0].value AS id", "text AS value")
 
 
+def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write a file of events for each type, read the files whole, and parse them."""
+    base = _scratch(spark)
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table.selectExpr("event_type", "concat(event_id, ' ', event_type) AS line").write.partitionBy("event_type").text(base)
+    docs = read_texts(spark, f"{base}/event_type=*/*.txt")
+    return parse.nodes(docs, Grammar.compile(_EVENT), ["file"]).where("name = 'e'").selectExpr("cast(attrs[0].value as bigint) AS id", "text AS value")
+
+
+def write_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write outputs as text files, and read their lines."""
+    base = _scratch(spark)
+    table = spark.read.parquet(f"{sf_dir}/region.parquet")
+    sinks.write_outputs(table.selectExpr("concat(r_name, '\n') AS text"), Grammar.compile(_LINES), base, "yaml")
+    return spark.read.text(base).where("value <> ''").selectExpr("value AS line")
+
+
+def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grammar as a function in SQL."""
+    sql.register_function(spark, "region_lines", Grammar.compile(_LINES), "xml")
+    return spark.sql("SELECT r_regionkey AS k, region_lines(concat(r_name, '\n')) AS output FROM {r}", r=spark.read.parquet(f"{sf_dir}/region.parquet"))
+
+
+def sql_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grammar as a table function in a lateral join."""
+    sql.register_table_function(spark, "event_nodes", Grammar.compile(_EVENT))
+    query = "SELECT e.event_id, n.attrs[0].value AS id, n.text AS value FROM {e} e, LATERAL event_nodes(concat(e.event_id, ' ', e.event_type, '\n')) n WHERE n.depth = 1"
+    return spark.sql(query, e=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+_FUNCTIONS = {f.__name__: f for f in (streaming_parse, whole_files, write_outputs, sql_function, sql_table_function)}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**QUERIES, "streaming_parse": streaming_parse}
+    return {**QUERIES, **_FUNCTIONS}
 
 
 def oracle_sql() -> dict[str, str]:
     return {name: q.oracle for name, q in QUERIES.items()} | {
         "streaming_parse": "SELECT event_id, CAST(event_id AS VARCHAR) AS id, event_type AS value FROM events",
+        "whole_files": "SELECT event_id AS id, event_type AS value FROM events",
+        "write_outputs": "SELECT unnest(['line:', '  ''#text'': ' || r_name]) AS line FROM region",
+        "sql_function": "SELECT r_regionkey AS k, '<xml>' || chr(10) || '  <line>' || r_name || '</line>' || chr(10) || '</xml>' || chr(10) AS output FROM region",
+        "sql_table_function": "SELECT event_id, CAST(event_id AS VARCHAR) AS id, event_type AS value FROM events",
     }

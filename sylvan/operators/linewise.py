@@ -19,12 +19,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans import ast
 from ..plans.analysis import flatten, resolve
 from ..plans.dialect import PatternError, to_java, to_python
 from ..plans.grammar import Grammar
 from .kernel import Machine, _split_template
+from .parse import NODES
 from .parse import nodes as kernel_nodes
 from .tree import parse_path
 
@@ -180,6 +182,8 @@ def nodes(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str = "tex
     rules = line_rules(grammar, start)
     if rules is None:
         return kernel_nodes(df, grammar, keys, text_col, start)
+    if clash := {k.lower() for k in keys} & set(StructType.fromDDL(NODES).fieldNames()):
+        raise ValueError(f"keys can't be named like columns of the result: {sorted(clash)}")
     text = F.col("__text")
     picked = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text_col}`").alias("__text"))
     lines = F.split(F.expr("substring(__text, 1, length(__text) - 1)"), "\n")

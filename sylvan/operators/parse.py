@@ -112,8 +112,10 @@ def _rows_of(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str, st
     """Rows of each document behind its keys, in batches of a bounded number."""
     mode = _mode(mode)
     _check(grammar, start)
-    picked = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text_col}`").alias("__text"))
     extra = StructType.fromDDL(ddl)
+    if clash := {k.lower() for k in keys} & {f.name for f in extra.fields}:
+        raise ValueError(f"keys can't be named like columns of the result: {sorted(clash)}")
+    picked = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text_col}`").alias("__text"))
     schema = StructType([*(StructField(f.name, f.dataType, True) for f in picked.schema.fields[:-1]), *extra.fields])
     k = len(keys)
     names = [f.name for f in schema.fields]

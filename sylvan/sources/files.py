@@ -18,12 +18,12 @@ def require_utf8(encoding: str) -> None:
 
 
 def read_texts(spark: SparkSession, paths: str | list[str], encoding: str = "utf-8", strict: bool = True) -> DataFrame:
-    """(path, text): a row for each file, whole.  With ``strict``, a file that
+    """(file, text): a row for each file, whole.  With ``strict``, a file that
     isn't UTF-8 fails the job when it is read; else its bytes are replaced."""
     require_utf8(encoding)
     files = spark.read.format("binaryFile").load(paths)
     check = F.validate_utf8 if strict else F.make_valid_utf8
-    return files.select("path", check(F.col("content").cast("string")).alias("text"))
+    return files.select(F.col("path").alias("file"), check(F.col("content").cast("string")).alias("text"))
 
 
 def text_frame(spark: SparkSession, texts: list[str]) -> DataFrame:

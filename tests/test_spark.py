@@ -91,6 +91,12 @@ def test_clashing_columns_are_replaced(spark):
     assert parse.parse(df, Grammar.compile(LINES)).columns == ["k", "text", "consumed", "error", "output"]
 
 
+def test_clashing_keys_are_an_error(docs):
+    for nodes in (parse.nodes, linewise.nodes):
+        with pytest.raises(ValueError, match="named like"):
+            nodes(docs.withColumnRenamed("k", "Path"), Grammar.compile(LINES), ["Path"])
+
+
 def test_attributes_and_variants(docs):
     g = Grammar.compile(LINES)
     caps = parse.nodes(docs, g, ["k"]).where("name = 'cap'").select(parse.attribute("first").alias("f"))
@@ -159,3 +165,20 @@ def test_command_line(tmp_path):
     assert got.returncode == 1 and got.stdout == "line:\n  '#text': a\n" and "stopped" in got.stderr
     assert cli(input="B\n").stdout == '<xml>\n  <cap first="B">B</cap>\n</xml>\n'
     assert cli("--search-window", "0").returncode == 1
+
+
+def test_sql_functions(spark, docs):
+    from sylvan.operators import sql
+
+    g = Grammar.compile(LINES)
+    sql.register_function(spark, "lines_json", g)
+    sql.register_function(spark, "lines_strict", g, strict=True)
+    sql.register_table_function(spark, "lines_nodes", g)
+    docs.createOrReplaceTempView("docs")
+    got = {r.k: r.o for r in spark.sql("SELECT k, lines_json(text) AS o FROM docs").collect()}
+    want = {r.k: r.output for r in parse.parse(docs, g).collect()}
+    assert got == want
+    with pytest.raises(Exception, match="stopped at line 1"):
+        spark.sql("SELECT lines_strict(text) FROM docs").collect()
+    rows = sorted(map(str, spark.sql("SELECT d.k, n.* FROM docs d, LATERAL lines_nodes(d.text) n").collect()))
+    assert rows == sorted(map(str, parse.nodes(docs, g, ["k"]).collect()))
