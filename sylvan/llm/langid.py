@@ -165,7 +165,8 @@ def identify(pages: DataFrame | None, documents: DataFrame, sample: int = SAMPLE
     prior = [((every[f"s{i}"] or 0.0) + 1) / (every["n"] + len(langs)) for i in k]
     hosts = said.where("host is not null").groupBy("host").agg(F.first("domain").alias("domain"), F.count("*").alias("h_n"), *[F.sum(f"p{i}").alias(f"h_{i}") for i in k])
     domains = hosts.groupBy("domain").agg(F.sum("h_n").alias("d_n"), *[F.sum(f"h_{i}").alias(f"d_{i}") for i in k])
-    hosts = hosts.join(domains, "domain").drop("domain")
+    # Written, so that the join with the pages has exchanges of its own, whose hot keys Spark can split.
+    hosts = materialize(hosts.join(domains, "domain").drop("domain"), "hosts")
     marks = [_sums(said, "declared", k, "m"), _sums(said, "suffix", k, "x")]
     joined = said.join(hosts, "host", "left").join(marks[0], "declared", "left").join(marks[1], "suffix", "left")
 
