@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +30,7 @@ from .parse import nodes as kernel_nodes
 from .tree import parse_path
 
 # Patterns that consume exactly one line end where there is no carriage return.
+_ANY_LINE = (r"[^\r\n]*", r"[^\n]*", r".*")
 _LINE_ENDS = (r"[\r\n]", r"[\n]", r"\n", r"\r?\n", r"[\r]?\n")
 
 
@@ -43,10 +43,20 @@ class _Create:
 
 @dataclass(frozen=True)
 class LineRule:
-    """A fused pattern for a line with its end, and the nodes it creates."""
+    """A fused pattern for a line with its end, and the nodes it creates.
+    A rule that is one field for any line needs no pattern at all."""
 
     pattern: str
     creates: tuple[_Create, ...]
+    any_line: bool = False
+
+    def takes(self, line: Column) -> Column:
+        return F.lit(True) if self.any_line else F.concat(line, F.lit("\n")).rlike(self.pattern)
+
+    def capture(self, line: Column, i: int) -> Column:
+        if self.any_line:
+            return line if i == 0 else F.lit("\n")
+        return F.regexp_extract(F.concat(line, F.lit("\n")), self.pattern, i + 1)
 
 
 def _can_match_line_end(pattern: str) -> bool:
@@ -125,7 +135,7 @@ def line_rules(grammar: Grammar, start: str = "input") -> list[LineRule] | None:
                 return None
             flags = "(?Udiu)" if s.ignore_case else "(?Ud)"
             try:
-                out.append(LineRule(f"{flags}^" + "".join(f"({to_java(p)})" for p in parts), tuple(creates)))
+                out.append(LineRule(f"{flags}^" + "".join(f"({to_java(p)})" for p in parts), tuple(creates), parts[:-1] in ([p] for p in _ANY_LINE)))
             except PatternError:
                 return None
     return out or None
@@ -170,15 +180,20 @@ def _filled(template: str, line: Column, rule: LineRule) -> Column:
     parts = []
     for p in _split_template(template):
         if isinstance(p, str):
-            parts.append(F.lit(p))
+            parts += [F.lit(p)] if p else []
         elif int(p[0]) < n:
-            parts.append(F.regexp_extract(line, rule.pattern, int(p[0]) + 1))
-    return F.concat(*parts) if parts else F.lit("")
+            parts.append(rule.capture(line, int(p[0])))
+    return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.lit("")
 
 
 def nodes(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str = "text", start: str = "input") -> DataFrame:
     """The node table of :func:`sylvan.operators.parse.nodes`, with Spark's own
-    expressions for the documents of a linewise grammar where they can be."""
+    expressions for the documents of a linewise grammar where they can be.
+
+    A document's lines are classified in one pass over an array; the order of
+    its nodes, those of one name together, comes from a sort of that array;
+    then one row per node is generated, and captures are taken in that row.
+    """
     rules = line_rules(grammar, start)
     if rules is None:
         return kernel_nodes(df, grammar, keys, text_col, start)
@@ -186,51 +201,80 @@ def nodes(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str = "tex
         raise ValueError(f"keys can't be named like columns of the result: {sorted(clash)}")
     text = F.col("__text")
     picked = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text_col}`").alias("__text"))
+    fits = text.endswith("\n") & ~text.contains("\r")
     lines = F.split(F.expr("substring(__text, 1, length(__text) - 1)"), "\n")
-
-    def any_rule(line: Column) -> Column:
-        return reduce(lambda a, b: a | b, [line.rlike(r.pattern) for r in rules])
-
-    lowered = F.coalesce(
-        text.endswith("\n") & ~text.contains("\r") & F.forall(lines, lambda x: (F.octet_length(x) < grammar.window) & any_rule(F.concat(x, F.lit("\n")))),
-        F.lit(False),
-    )
-    flagged = picked.withColumn("__lowered", lowered)
-    general = kernel_nodes(flagged.where("not __lowered and __text is not null"), grammar, keys, "__text", start)
-
-    def made(line: Column, at: Column) -> Column:
-        """The nodes of a line, as an array of structs."""
-        line = F.concat(line, F.lit("\n"))
-        out = None
-        for r in rules:
-            each = []
-            for i, c in enumerate(r.creates):
-                filled = F.nullif(_filled(c.text, line, r), F.lit("")) if c.text is not None else F.lit(None).cast("string")
-                attrs = F.array(*[F.struct(F.lit(k).alias("key"), _filled(v, line, r).alias("value")) for k, v in c.attrs]) if c.attrs else F.expr("cast(array() as array<struct<key:string,value:string>>)")
-                each.append(F.struct(at.cast("bigint").alias("line"), F.lit(i).alias("i"), F.lit(c.name).alias("name"), filled.alias("text"), attrs.alias("attrs")))
-            value = F.array(*each)
-            out = F.when(line.rlike(r.pattern), value) if out is None else out.when(line.rlike(r.pattern), value)
+    rules = rules[: next((i for i, r in enumerate(rules) if r.any_line), len(rules)) + 1]  # what stands behind is never reached
+
+    def classify(line: Column) -> Column:
+        """The number of the first rule that takes a line, or -1."""
+        if rules[0].any_line:
+            return F.lit(0)
+        out = F.when(rules[0].takes(line), 0)
+        for i, r in enumerate(rules[1:], start=1):
+            out = out.otherwise(i) if r.any_line else out.when(r.takes(line), i)
+        return out if rules[-1].any_line else out.otherwise(-1)
+
+    short = (F.octet_length(text) <= grammar.window) | F.forall(lines, lambda x: F.octet_length(x) < grammar.window)
+    lowered = F.coalesce(fits & short, F.lit(False))
+    flagged = picked.withColumn("__lines", F.when(lowered, lines))
+    simple = len(rules) == 1 and rules[0].any_line and len(rules[0].creates) == 1
+    if not simple:
+        flagged = flagged.withColumn("__rules", F.transform("__lines", classify))
+    native = F.col("__lines").isNotNull() & (F.lit(True) if rules[-1].any_line else ~F.array_contains("__rules", -1))
+    general = kernel_nodes(flagged.where(F.col("__text").isNotNull() & ~native), grammar, keys, "__text", start)
+
+    flat = [(r, c) for r in rules for c in r.creates]  # each create has its place in this list
+    names = list(dict.fromkeys(c.name for _, c in flat))
+    if simple:
+        native_rows = flagged.where(native).select(*[f"`{k}`" for k in keys], F.posexplode(F.concat(F.array(F.lit("")), "__lines")).alias("__at", "__line")).withColumn("__c", F.lit(0))
+    else:
+        first = [sum(len(r.creates) for r in rules[:i]) for i in range(len(rules))]
+
+        def created(i: Column) -> Column:
+            """The creates of the line with number i."""
+            rule, line = F.get("__rules", i), F.get("__lines", i)
+            each = [F.array(*[F.struct(F.lit(at + j).alias("c"), line.alias("line")) for j in range(len(r.creates))]) for at, r in zip(first, rules, strict=True)]
+            out = each[0]
+            for k, e in enumerate(each[1:], start=1):
+                out = F.when(rule == k, e).otherwise(out)
+            return out
+
+        made = F.flatten(F.transform(F.sequence(F.lit(0), F.size("__lines") - 1), created))
+        rows = flagged.where(native).withColumn("__made", made)
+        if len(names) > 1:
+            name_of = F.array(*[F.lit(names.index(c.name)) for _, c in flat])
+            rows = rows.withColumn("__names", F.transform("__made", lambda m: F.get(name_of, m["c"])))
+            begins = F.array(*[F.array_position("__names", i) for i in range(len(names))])
+            rows = rows.withColumn("__begins", begins)
+            keyed = F.transform("__made", lambda m, i: F.struct(F.get(F.col("__begins"), F.get(F.col("__names"), i)).alias("f"), i.alias("i"), m["c"].alias("c"), m["line"].alias("line")))
+            rows = rows.withColumn("__made", F.array_sort(keyed))
+        root = F.expr("array(named_struct('c', 0, 'line', ''))")
+        body = F.transform("__made", lambda m: F.struct(m["c"].alias("c"), m["line"].alias("line"))) if len(names) > 1 else F.col("__made")
+        native_rows = rows.select(*[f"`{k}`" for k in keys], F.posexplode(F.concat(root, body)).alias("__at", "__m"))
+        native_rows = native_rows.select(*[f"`{k}`" for k in keys], "__at", F.col("__m.line").alias("__line"), F.col("__m.c").alias("__c"))
+
+    at, line = F.col("__at"), F.col("__line")
+    is_root = at == 0
+    no_attrs = F.expr("cast(array() as array<struct<key:string,value:string>>)")
+
+    def chosen(of, otherwise: Column) -> Column:
+        """What ``of`` gives for the create of the row; something else for the root."""
+        out = F.when(is_root, otherwise)
+        for i, (r, c) in enumerate(flat):
+            value = of(r, c)
+            out = out.otherwise(value) if i == len(flat) - 1 else out.when(F.col("__c") == i, value)
         return out
 
-    names = list(dict.fromkeys(c.name for r in rules for c in r.creates))
-    native = flagged.where("__lowered").withColumn("__made", F.flatten(F.transform(lines, made)))
-    if len(names) > 1:  # children of one name stand together, names by their first children
-        order = F.array(*[F.struct(F.array_position(F.transform("__made", lambda m: m["name"]), n).alias("at"), F.lit(n).alias("name")) for n in names])
-        native = native.withColumn("__order", F.array_sort(F.filter(order, lambda o: o["at"] > 0)))
-        native = native.withColumn("__made", F.flatten(F.transform("__order", lambda o: F.filter("__made", lambda m: m["name"] == o["name"]))))
-    children = native.select(*[f"`{k}`" for k in keys], F.posexplode("__made").alias("__at", "m")).select(
+    name = chosen(lambda r, c: F.lit(c.name), F.lit(""))
+    made = native_rows.select(
         *[f"`{k}`" for k in keys],
-        (F.col("__at") + 1).cast("bigint").alias("node_id"),
-        F.lit(0).cast("bigint").alias("parent_id"),
-        F.lit(1).cast("bigint").alias("depth"),
-        F.col("__at").cast("bigint").alias("ord"),
-        F.col("m.name").alias("name"),
-        F.concat(F.lit("/"), F.col("m.name")).alias("path"),
-        F.col("m.text").alias("text"),
-        F.col("m.attrs").alias("attrs"),
+        at.cast("bigint").alias("node_id"),
+        F.when(~is_root, F.lit(0)).cast("bigint").alias("parent_id"),
+        F.when(is_root, 0).otherwise(1).cast("bigint").alias("depth"),
+        F.greatest(at - 1, F.lit(0)).cast("bigint").alias("ord"),
+        name.alias("name"),
+        chosen(lambda r, c: F.lit("/" + c.name), F.lit("")).alias("path"),
+        chosen(lambda r, c: F.nullif(_filled(c.text, line, r), F.lit("")) if c.text is not None else F.lit(None).cast("string"), F.lit(None).cast("string")).alias("text"),
+        chosen(lambda r, c: F.array(*[F.struct(F.lit(k).alias("key"), _filled(v, line, r).alias("value")) for k, v in c.attrs]) if c.attrs else no_attrs, no_attrs).alias("attrs"),
     )
-    roots = flagged.where("__lowered").selectExpr(
-        *[f"`{k}`" for k in keys], "0L as node_id", "cast(null as bigint) as parent_id", "0L as depth", "0L as ord", "'' as name", "'' as path", "cast(null as string) as text",
-        "cast(array() as array<struct<key:string,value:string>>) as attrs",
-    )
-    return roots.unionByName(children).unionByName(general)
+    return made.unionByName(general)

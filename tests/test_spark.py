@@ -182,3 +182,26 @@ def test_sql_functions(spark, docs):
         spark.sql("SELECT lines_strict(text) FROM docs").collect()
     rows = sorted(map(str, spark.sql("SELECT d.k, n.* FROM docs d, LATERAL lines_nodes(d.text) n").collect()))
     assert rows == sorted(map(str, parse.nodes(docs, g, ["k"]).collect()))
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "    match /[^\\r\\n]*/ nl:\n        out.create('line', '<$0>')\n",
+        "    match /[^\\n]*/ nl:\n        out.create('A b?x=\"$0\"')\n        out.create('c', '$0$1$2')\n        out.create('a-b', 'k')\n",
+        "    match /b+/ /\\w*/ nl:\n        out.create('z', '$1')\n    match /(\\d)(\\d)?/ nl | 'x' /.*/ nl:\n        out.create('y?n=\"$2\"&m=\"$0\"', '$1')\n        out.create('z', '$0')\n    match /.*/ nl:\n        out.create('w', '$0')\n    match /b/ nl:\n        out.create('never')\n",
+        "    imatch 'ab' /\\d*/ nl:\n        out.create('i', '$0')\n    match /\\w*/ nl:\n        out.create('j', '$0')\n        out.create('i')\n",
+        "    match /a?/ nl:\n        out.create('only', '$0')\n",
+    ],
+)
+def test_lowered_grammars_agree_with_the_kernel(spark, body):
+    import random
+
+    rng = random.Random(len(body))
+    texts = ["".join(rng.choice(["b", "a", "1", "23", "x ", "AB", "é", "\n", "\n", "%41", "$0", ""]) for _ in range(rng.randint(0, 30))) + rng.choice(["\n", "\n", "\n", ""]) for _ in range(150)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string")
+    for window in (None, 6):
+        g = Grammar.compile("define nl /\\r?\\n/\ngrammar input:\n" + body, search_window=window)
+        assert linewise.line_rules(g)
+        got, want = (sorted(map(str, f(df, g, ["k"]).collect())) for f in (linewise.nodes, parse.nodes))
+        assert got == want
