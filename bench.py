@@ -15,7 +15,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 #: Of the catalogue; single texts of the shapes of published workloads come on top.
 HEADLINE = (
-    "linesplit_nodes", "linesplit_counts", "native_vs_kernel_linewise", "csv_columns", "user_records_attrs", "kv_path_attributes", "add_append_text", "create_vs_add_cardinality",
+    "linesplit_nodes", "linesplit_counts", "csv_columns", "user_records_attrs", "kv_path_attributes", "add_append_text", "create_vs_add_cardinality",
     "enter_reuse", "alternation_first_match", "when_lookahead", "skip_comments", "trigger_before", "consumed_bytes", "json_escape", "xml_escape", "html_links", "transcript_turns",
 )
 

@@ -53,8 +53,8 @@ class Query:
         g = Grammar.compile(self.grammar, preserve_case=self.preserve_case, search_window=self.window)
         if self.how == "nodes":
             got = parse.nodes(docs, g, ["k"])
-        elif self.how == "linewise":
-            got = linewise.nodes(docs, g, ["k"])
+        elif self.how in ("linewise", "lowered"):
+            got = linewise.nodes(docs, g, ["k"], lower="always" if self.how == "lowered" else "auto")
         elif self.how in ("actions", "captures"):
             got = getattr(parse, self.how)(docs, g, ["k"])
         else:
@@ -104,7 +104,7 @@ QUERIES: dict[str, Query] = {
         f"""WITH e AS ({_EVENTS}), c AS (SELECT *, CASE WHEN regexp_matches(event_type, '^[aeiou]') THEN 'vowel' ELSE 'other' END AS name FROM e),
         f AS (SELECT *, min(i) OVER (PARTITION BY user_id, name) AS f FROM c)
         SELECT user_id AS k, CAST(row_number() OVER (PARTITION BY user_id ORDER BY f, i) - 1 AS BIGINT) AS ord, name, event_type AS value, event_id AS id FROM f""",
-        how="linewise",
+        how="lowered",
     ),
     "linesplit_window_chunks": Query(
         ("documents",), "SELECT doc_id AS k, replace(text, '\n', ' ') AS text FROM documents WHERE octet_length(text) = length(text) AND text <> ''",
@@ -130,7 +130,8 @@ grammar input:
         out.open('line')
         line()
 """,
-        "SELECT l.k, l.ord AS line_no, c.ord AS col_no, c.text AS value FROM {n} l JOIN {n} c ON l.k = c.k AND l.node_id = c.parent_id WHERE l.name = 'line'",
+        # Ids go breadth first: the lines come right behind the root.
+        "SELECT k, parent_id - 1 AS line_no, ord AS col_no, text AS value FROM {n} WHERE name = 'column'",
         f"""WITH o AS ({_ORDERS}) SELECT o_custkey AS k, CAST(i AS BIGINT) AS line_no, CAST(c.n AS BIGINT) AS col_no,
         CASE c.n WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN o_orderstatus ELSE o_orderpriority END AS value FROM o, (SELECT unnest([0, 1, 2]) AS n) c""",
     ),

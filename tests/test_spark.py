@@ -28,7 +28,10 @@ def test_lowered_and_kernel_nodes_agree(docs):
     g = Grammar.compile(LINES)
     assert linewise.line_rules(g)
     rows = lambda df: sorted(map(str, df.collect()))
-    assert rows(linewise.nodes(docs, g, ["k"])) == rows(parse.nodes(docs, g, ["k"]))
+    for lower in ("auto", "always", "never"):
+        assert rows(linewise.nodes(docs, g, ["k"], lower=lower)) == rows(parse.nodes(docs, g, ["k"]))
+    with pytest.raises(ValueError, match="lowering"):
+        linewise.nodes(docs, g, ["k"], lower="x")
 
 
 @pytest.mark.parametrize(
@@ -82,7 +85,7 @@ def test_only_asked_columns_and_pushdown(spark, tmp_path):
     assert "EqualTo(lang,en)" in plan
     pruned = parse.parse(df, Grammar.compile(LINES)).select("k")._jdf.queryExecution().executedPlan().toString()
     assert "Arrow" not in pruned
-    native = linewise.nodes(df.where("text like '%\n'"), Grammar.compile(LINES), ["k"])._jdf.queryExecution().executedPlan().toString()
+    native = linewise.nodes(df.where("text like '%\n'"), Grammar.compile(LINES), ["k"], lower="always")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in native
 
 
@@ -203,5 +206,6 @@ def test_lowered_grammars_agree_with_the_kernel(spark, body):
     for window in (None, 6):
         g = Grammar.compile("define nl /\\r?\\n/\ngrammar input:\n" + body, search_window=window)
         assert linewise.line_rules(g)
-        got, want = (sorted(map(str, f(df, g, ["k"]).collect())) for f in (linewise.nodes, parse.nodes))
+        got, want = (sorted(map(str, rows.collect())) for rows in (linewise.nodes(df, g, ["k"], lower="always"), parse.nodes(df, g, ["k"])))
         assert got == want
+        assert got == sorted(map(str, linewise.nodes(df, g, ["k"]).collect()))
