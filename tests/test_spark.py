@@ -141,9 +141,9 @@ def test_files_and_streams(spark, tmp_path):
 
 
 def test_single_texts(tmp_path):
-    (tmp_path / "g.gel").write_text(LINES)
+    (tmp_path / "g.grammar").write_text(LINES)
     (tmp_path / "in.txt").write_text("a\n")
-    c = sylvan.compile(str(tmp_path / "g.gel"))
+    c = sylvan.compile(str(tmp_path / "g.grammar"))
     assert sylvan.generate(c, str(tmp_path / "in.txt")) == "<xml>\n  <line>a</line>\n</xml>\n"
     sylvan.generate_to_file(c, str(tmp_path / "in.txt"), str(tmp_path / "o.json"), "json")
     assert '"line"' in (tmp_path / "o.json").read_text()
@@ -155,15 +155,15 @@ def test_single_texts(tmp_path):
     with pytest.raises(OSError):
         sylvan.generate(c, str(tmp_path / "none"))
     with pytest.raises(ValueError):
-        sylvan.compile(str(tmp_path / "g.gel"), encoding="latin-1")
+        sylvan.compile(str(tmp_path / "g.grammar"), encoding="latin-1")
     assert '"error": "grammar' in c.run("no end") and c.run_xml("a\n").startswith("<?xml")
 
 
 def test_command_line(tmp_path):
-    (tmp_path / "g.gel").write_text(LINES)
+    (tmp_path / "g.grammar").write_text(LINES)
     (tmp_path / "1.txt").write_text("a\n")
     (tmp_path / "2.txt").write_text("no end")
-    cli = lambda *a, **k: subprocess.run([sys.executable, "-m", "sylvan.cli", "-s", tmp_path / "g.gel", *a], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), **k)
+    cli = lambda *a, **k: subprocess.run([sys.executable, "-m", "sylvan.cli", "-s", tmp_path / "g.grammar", *a], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), **k)
     got = cli("-f", "yml", tmp_path / "1.txt", tmp_path / "2.txt")
     assert got.returncode == 1 and got.stdout == "line:\n  '#text': a\n" and "stopped" in got.stderr
     assert cli(input="B\n").stdout == '<xml>\n  <cap first="B">B</cap>\n</xml>\n'
