@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, materialize, mix
+from .common import byte_slices, map_texts, materialize, mix
 
 #: Labelled texts that the likelihoods are learnt from, at most.
 SAMPLE = 2000
@@ -66,15 +66,22 @@ def trigram_buckets(text: bytes) -> np.ndarray:
     return (mix(b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:]) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def packed_trigrams(text: bytes | None) -> bytes:
+    """A text's trigram counts: buckets of two bytes, then counts of four."""
+    at, n = np.unique(trigram_buckets(text or b""), return_counts=True)
+    return at.astype("<u2").tobytes() + n.astype("<u4").tobytes()
+
+
 class TextModel:
     """Log probabilities of the trigram buckets in each language."""
 
-    def __init__(self, texts: list[bytes], langs: list[str]):
+    def __init__(self, trigrams: list[bytes], langs: list[str]):
         self.langs = sorted(set(langs))[:LANGUAGES]
         counts = np.full((len(self.langs), BUCKETS), 0.1)
-        for t, lang in zip(texts, langs, strict=True):
+        for t, lang in zip(trigrams, langs, strict=True):
             if lang in self.langs:
-                counts[self.langs.index(lang)] += np.bincount(trigram_buckets(t), minlength=BUCKETS)
+                n = len(t) // 6
+                counts[self.langs.index(lang), np.frombuffer(t, dtype="<u2", count=n)] += np.frombuffer(t, dtype="<u4", offset=2 * n)
         self.log_p = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
     def likelihoods(self, text: bytes) -> np.ndarray:
@@ -90,10 +97,11 @@ def learn_texts(documents: DataFrame, n: int = SAMPLE, text_col: str = "text", l
     """Learn from at most ``n`` labelled texts, chosen by hash of their ids."""
     labelled = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang")).where("id is not null and lang is not null")
     chosen = labelled.orderBy(F.xxhash64("id"), "id").limit(n).dropDuplicates(["id"])
-    texts = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").where("text is not null").dropDuplicates(["id"]).collect()  # at most n rows
+    texts = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null").join(F.broadcast(chosen), "id")  # chosen has at most n rows
+    count = lambda texts: [pa.array([packed_trigrams(t) for t in texts], pa.binary())]
+    rows = map_texts(texts, "text", ["id", "lang"], "trigrams binary", count).dropDuplicates(["id"]).collect()  # at most 400 kB each
     rows.sort(key=lambda r: r.id)
-    return TextModel([bytes(r.text) for r in rows], [r.lang for r in rows])
+    return TextModel([bytes(r.trigrams) for r in rows], [r.lang for r in rows])
 
 
 _SAID = "host string, domain string, suffix string, declared string, ll array<double>"

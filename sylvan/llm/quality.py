@@ -98,7 +98,11 @@ class LatentModel:
     neighbours: int = NEIGHBOURS
 
     def vectors_of(self, texts: list[bytes | None]) -> np.ndarray:
-        x = _scaled(term_counts(texts), self.weights) @ self.basis
+        return self.unit(_scaled(term_counts(texts), self.weights))
+
+    def unit(self, x: np.ndarray) -> np.ndarray:
+        """Weighted terms in the latent space, with length 1."""
+        x = x @ self.basis
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return (x / np.where(norm > 0, norm, 1)).astype(np.float32)
 
@@ -141,22 +145,36 @@ def _scaled(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / np.maximum(total, 1)) * weights
 
 
-def fit_latent(texts: list[bytes | None], labels: list[int], dimensions: int = DIMENSIONS, seed: int = 7) -> LatentModel:
+def packed_terms(texts: list[bytes | None]) -> list[bytes]:
+    """The unweighted terms of each text: places of two bytes, then values of four."""
+    out = []
+    for part in _parts(texts):
+        for row in _scaled(term_counts(part), np.ones(TERMS, dtype=np.float32)):
+            at = np.flatnonzero(row)
+            out.append(at.astype("<u2").tobytes() + row[at].astype("<f4").tobytes())
+    return out
+
+
+def fit_latent(texts: list[bytes | None], labels: list[int], dimensions: int = DIMENSIONS) -> LatentModel:
+    return fit_terms(packed_terms(texts), labels, dimensions)
+
+
+def fit_terms(terms: list[bytes], labels: list[int], dimensions: int = DIMENSIONS, seed: int = 7) -> LatentModel:
     """Term weights, the latent basis and the sample's vectors in it."""
-    y = np.array(labels, dtype=np.float64)
-    ones = np.ones(TERMS, dtype=np.float32)
-    x = np.concatenate([np.zeros((0, TERMS), np.float32), *(_scaled(term_counts(part), ones) for part in _parts(texts))])
-    weights = (1 + np.log((len(texts) + 1) / ((x > 0).sum(axis=0) + 1))).astype(np.float32)
+    x = np.zeros((len(terms), TERMS), dtype=np.float32)
+    for row, t in zip(x, terms, strict=True):
+        n = len(t) // 6
+        row[np.frombuffer(t, dtype="<u2", count=n)] = np.frombuffer(t, dtype="<f4", offset=2 * n)
+    weights = (1 + np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1))).astype(np.float32)
     weights[_N:] *= REPEAT_WEIGHT
     x *= weights
     rng = np.random.default_rng(seed)
     q = rng.standard_normal((TERMS, min(dimensions + 8, TERMS))).astype(np.float32)
     for _ in range(4):
         q, _ = np.linalg.qr(x.T @ (x @ q)) if len(x) else (q, None)
-    small = x @ q
-    _, _, v = np.linalg.svd(small, full_matrices=False) if len(x) else (None, None, np.eye(q.shape[1]))
-    model = LatentModel(weights, q @ v[:dimensions].T, np.zeros((0, 0), np.float32), y)
-    model.vectors = np.concatenate([np.zeros((0, model.basis.shape[1]), np.float32), *(model.vectors_of(part) for part in _parts(texts))])
+    _, _, v = np.linalg.svd(x @ q, full_matrices=False) if len(x) else (None, None, np.eye(q.shape[1]))
+    model = LatentModel(weights, q @ v[:dimensions].T, np.zeros((0, 0), np.float32), np.array(labels, dtype=np.float64))
+    model.vectors = model.unit(x)
     return model
 
 
@@ -165,15 +183,17 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 == 0
 
 
-def labelled_sample(df: DataFrame, labels: DataFrame, label_col: str = "quality", n: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> tuple[list[bytes | None], list[int]]:
-    """At most ``n`` labelled texts that aren't held out, chosen by hash of
-    their ids.  The ids are chosen first, so that only a sample's texts move."""
+def labelled_sample(df: DataFrame, labels: DataFrame, label_col: str = "quality", n: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> tuple[list[bytes], list[int]]:
+    """The terms and labels of at most ``n`` texts that aren't held out, chosen
+    by hash of their ids.  The ids are chosen first, so that only a sample's
+    texts are read further; and only their terms, at most 25 kB each, reach the
+    driver, however long the texts are."""
     of = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where("id is not null and label is not null").where(~held_out("id"))
-    chosen = of.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(n)
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).collect()  # chosen has at most n rows
+    chosen = of.groupBy("id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(n)
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id")  # chosen has at most n rows
+    rows = map_texts(texts, "text", ["id", "label"], "terms binary", lambda t: [pa.array(packed_terms(t), pa.binary())]).dropDuplicates(["id"]).collect()
     rows.sort(key=lambda r: r.id)
-    return [bytes(r.text) if r.text is not None else None for r in rows], [int(r.label) for r in rows]
+    return [bytes(r.terms) for r in rows], [r.label for r in rows]
 
 
 def score_quality(df: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -183,14 +203,14 @@ def score_quality(df: DataFrame, labels: DataFrame, threshold: float = 0.3, samp
     null id is handed on and not held out; repeated rows give repeated results.
     Of several labels of one id the largest counts.
     """
-    model = fit_latent(*labelled_sample(df, labels, n=sample, text_col=text_col, id_col=id_col))
+    model = fit_terms(*labelled_sample(df, labels, n=sample, text_col=text_col, id_col=id_col))
     got = map_texts(df, text_col, [id_col], "score double", lambda texts: [pa.array(np.concatenate([model.scores(part) for part in _parts(texts)]))])
     return got.select(F.col(f"`{id_col}`"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` whose score reaches ``threshold``, with their columns."""
-    model = fit_latent(*labelled_sample(df, labels, n=sample, text_col=text_col, id_col=id_col))
+    model = fit_terms(*labelled_sample(df, labels, n=sample, text_col=text_col, id_col=id_col))
     name = fresh(df, "score")
     got = map_texts(df, text_col, df.columns, f"`{name}` double", lambda texts: [pa.array(np.concatenate([model.scores(part) for part in _parts(texts)]))])
     return got.where(F.col(f"`{name}`") >= threshold).select(*[f"`{c}`" for c in df.columns])
