@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, materialize
 
-RANK_ROWS = 50_000
+RANK_ROWS = 1_000
 #: Patterns that the fit considers at most.
 MOST_PATTERNS = 4000
 
