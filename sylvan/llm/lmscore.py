@@ -1,12 +1,15 @@
 """Language-model scoring (operator 3): cross-entropy difference.
 
 A target and a background model are bigram models over one vocabulary, the
-tokens of a public byte-level BPE.  Both are counted over whole tables: tasks
-add up their own bigrams, a grouped sum adds up the tasks.  Bigrams are kept in
-``SLOTS`` slots by hash, so that the models have a proven size whatever the
-corpus; the same slots and the same smoothing serve both models.  A document's
-score is the mean over its tokens of the difference of their losses: the lower,
-the more it looks like the target.
+tokens of a public byte-level BPE.  Both are counted over whole tables and
+exactly: each pair of neighbouring tokens has a row of its own in a written
+table, which grows with the corpus and is never collected.  Texts are encoded
+once and written as blocks of about ``BLOCK_TOKENS`` tokens.  Each block adds up
+its own bigrams; a grouped sum adds up the blocks; joined back, it hands every
+block the counts of the pairs that are in it.  Only the counts of single tokens,
+one row for each of the vocabulary, go to the driver.  A document's score is the
+mean over its tokens of the difference of their losses: the lower, the more it
+looks like the target.
 """
 
 from __future__ import annotations
@@ -16,75 +19,122 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import byte_slices, fresh, map_texts, materialize, mix
+from .common import map_texts, materialize
 from .packing import ByteBpe
 
-#: Of the hashed bigrams.  The models are two numbers of 8 bytes for each slot and token.
-SLOTS = 1 << 20
+#: Tokens of a block of documents, unless one document alone is longer; also
+#: the pairs that a task adds up at once.
+BLOCK_TOKENS = 1 << 21
 #: How much the unigram weighs against the counts of a context.
 PSEUDO = 20.0
+#: Keys from here on are pairs, those below are single tokens.
+_PAIRS = 1 << 32
 
 
 def slots_of(ids: np.ndarray) -> np.ndarray:
-    """The slot of each pair of neighbouring tokens."""
-    a = ids.astype(np.uint64)
-    return (mix((a[:-1] << np.uint64(32)) | a[1:]) & np.uint64(SLOTS - 1)).astype(np.int64)
+    """The key of each pair of neighbouring tokens; no two pairs share one."""
+    a = ids.astype(np.int64)
+    return ((a[:-1] + 1) << 32) | a[1:]
 
 
-def count_models(df: DataFrame, make, vocabulary: int, text_col: str = "text", target_col: str = "is_target") -> DataFrame:
-    """(slot, target, background): counts over all texts.  Slots below
-    ``SLOTS`` are bigrams; unigrams stand behind them.  Null texts are empty."""
-    picked = df.select(F.col(f"`{text_col}`").cast("binary"), F.coalesce(F.col(f"`{target_col}`"), F.lit(False)))
+def _width(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def token_blocks(df: DataFrame, vocabulary: int) -> DataFrame:
+    """``df`` (id, tokens, target) with the block of each row: consecutive rows
+    of a task with about BLOCK_TOKENS tokens.  To be written, as the blocks of
+    another run may differ."""
+    schema = StructType([*df.schema.fields, *StructType.fromDDL("block bigint").fields])
+    names, size = schema.fieldNames(), np.dtype(_width(vocabulary)).itemsize
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, filled = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            at = np.zeros(b.num_rows, dtype=np.int64)
+            for i, tokens in enumerate(b.column(1)):
+                n = tokens.as_buffer().size // size
+                if filled and filled + n > BLOCK_TOKENS:
+                    block, filled = block + 1, 0
+                filled += n
+                at[i] = block
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=names)
+
+    return df.mapInArrow(assign, schema)
+
+
+def block_counts(blocks: DataFrame, vocabulary: int) -> DataFrame:
+    """(block, key, target, background): how often each block has each pair of
+    tokens, and each task each token.  A key may come more than once."""
+    width = _width(vocabulary)
+
+    def summed(block: int, arrays: list[np.ndarray], targets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(np.concatenate(arrays), return_counts=True)
+        target = np.zeros(len(keys), dtype=np.int64)
+        if targets:
+            own, k = np.unique(np.concatenate(targets), return_counts=True)
+            target[np.searchsorted(keys, own)] = k
+        yield from rows(block, keys, target, n - target)
+
+    def rows(block: int, keys: np.ndarray, target: np.ndarray, background: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(keys), 100_000):
+            part = [x[i : i + 100_000].astype(np.int64) for x in (keys, target, background)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), block, dtype=np.int64)), *map(pa.array, part)], names=["block", "key", "target", "background"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = make()
-        dense = np.zeros((SLOTS + vocabulary, 2), dtype=np.int64)
+        single = np.zeros((2, vocabulary), dtype=np.int64)
+        now, every, targets, held = -1, [], [], 0
         for b in batches:
-            texts = b.column(0)
-            for start, n in byte_slices(texts):
-                for t, is_target in zip(texts.slice(start, n).to_pylist(), b.column(1).slice(start, n).to_pylist(), strict=True):
-                    if t:
-                        ids = bpe.ids(t.decode("utf-8", "replace"))
-                        at = np.concatenate([slots_of(ids), ids.astype(np.int64) + SLOTS])
-                        np.add.at(dense[:, 0 if is_target else 1], at, 1)
-        used = np.flatnonzero(dense.any(axis=1))
-        for i in range(0, len(used), 100_000):
-            at = used[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(dense[at, 0]), pa.array(dense[at, 1])], names=["slot", "target", "background"])
-
-    counted = picked.mapInArrow(count, "slot bigint, target bigint, background bigint")
-    return counted.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+            for block, tokens, is_target in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                ids = np.frombuffer(tokens.as_buffer(), dtype=width)
+                np.add.at(single[0 if is_target else 1], ids, 1)
+                for i in range(0, len(ids) - 1, BLOCK_TOKENS):
+                    keys = slots_of(ids[i : i + BLOCK_TOKENS + 1])
+                    if held and (block != now or held + len(keys) > BLOCK_TOKENS):
+                        yield from summed(now, every, targets)
+                        every, targets, held = [], [], 0
+                    now = block
+                    every.append(keys)
+                    if is_target:
+                        targets.append(keys)
+                    held += len(keys)
+        if held:
+            yield from summed(now, every, targets)
+        used = np.flatnonzero(single.any(axis=0))
+        yield from rows(-1, used, single[0][used], single[1][used])
+
+    return blocks.select("block", "tokens", "target").mapInArrow(count, "block bigint, key bigint, target bigint, background bigint")
 
 
 class Models:
-    """The counts of both models as arrays, and the losses they give."""
-
-    def __init__(self, slot: np.ndarray, target: np.ndarray, background: np.ndarray, vocabulary: int):
-        counts = np.zeros((2, SLOTS + vocabulary), dtype=np.float64)
-        counts[0, slot], counts[1, slot] = target, background
-        self.pairs = counts[:, :SLOTS].astype(np.float32)
-        self.single = counts[:, SLOTS:].astype(np.float32)
-        total = self.single.sum(axis=1, keepdims=True, dtype=np.float64)
+    """The token counts of both models as arrays, and the losses that they and
+    the counts of pairs give."""
+
+    def __init__(self, token: np.ndarray, target: np.ndarray, background: np.ndarray, vocabulary: int):
+        self.single = np.zeros((2, vocabulary), dtype=np.float64)
+        self.single[0, token], self.single[1, token] = target, background
+        total = self.single.sum(axis=1, keepdims=True)
         #: Add-one smoothing over the shared vocabulary.
-        self.unigram = ((self.single + 1.0) / (total + vocabulary)).astype(np.float64)
+        self.unigram = (self.single + 1.0) / (total + vocabulary)
 
-    def losses(self, ids: np.ndarray) -> tuple[float, float]:
-        """The mean loss of a text's tokens in nats, in the target and in the background model."""
+    def losses(self, ids: np.ndarray, keys: np.ndarray, pairs: np.ndarray) -> tuple[float, float]:
+        """The mean loss of a text's tokens in nats, in the target and in the
+        background model.  ``keys`` are sorted and hold all pairs of the text,
+        ``pairs`` has their counts in either model."""
         if not len(ids):
             return 0.0, 0.0
-        out = []
-        for m in range(2):
-            p = self.unigram[m][ids]
-            total = -np.log(p[0])
-            if len(ids) > 1:
-                context = self.single[m][ids[:-1]].astype(np.float64)
-                pair = np.minimum(self.pairs[m][slots_of(ids)].astype(np.float64), context)  # a slot may hold other bigrams too
-                total -= np.log((pair + PSEUDO * p[1:]) / (context + PSEUDO)).sum()
-            out.append(float(total) / len(ids))
-        return out[0], out[1]
+        total = -np.log(self.unigram[:, ids[0]])
+        for i in range(0, len(ids) - 1, BLOCK_TOKENS):
+            part = ids[i : i + BLOCK_TOKENS + 1]
+            at = np.searchsorted(keys, slots_of(part))
+            for m in range(2):
+                total[m] -= np.log((pairs[m][at] + PSEUDO * self.unigram[m][part[1:]]) / (self.single[m][part[:-1]] + PSEUDO)).sum()
+        return float(total[0]) / len(ids), float(total[1]) / len(ids)
 
 
 def score_language(
@@ -106,21 +156,39 @@ def score_language(
     repeated rows count as often as they stand there.  Without a target the
     target model knows nothing but the vocabulary.
     """
+    out = StructType.fromDDL("n_tokens bigint, loss_target double, loss_background double, score double")
+    if id_col.lower() in out.fieldNames():
+        raise ValueError(f"columns can't be named like those of the result: {[id_col]}")
     make = functools.partial(ByteBpe, json_path, ranks_path, pattern)
+    width = _width(vocabulary)
+
+    def encode(texts: list[bytes | None], bpe: ByteBpe) -> list[pa.Array]:
+        return [pa.array([bpe.ids(t.decode("utf-8", "replace")).astype(width).tobytes() if t else b"" for t in texts], pa.binary())]
+
+    encoded = map_texts(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", ["id"], "tokens binary", encode, make)
     good = labels.where(F.col(f"`{label_col}`") == 1).select(F.col(f"`{id_col}`").alias("__good")).distinct()
-    flag = fresh(df, "is_target")
-    both = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     # Merged, whatever the size of the labels: a plan that turns at some size can't be foretold.
-    both = both.join(good.hint("merge"), both[id_col] == good["__good"], "left").select(f"`{text_col}`", F.col("__good").isNotNull().alias(flag))
-    counts = materialize(count_models(both, make, vocabulary, text_col, flag), "ngrams")
-    rows = counts.toArrow()  # at most SLOTS + vocabulary rows
-    models = Models(*(rows.column(c).to_numpy() for c in ("slot", "target", "background")), vocabulary)
-    shared = df.sparkSession.sparkContext.broadcast(models)  # 16 bytes for each of these rows
-
-    def score(texts: list[bytes | None], bpe: ByteBpe) -> list[pa.Array]:
-        ids = [bpe.ids(t.decode("utf-8", "replace")) if t else np.zeros(0, np.uint32) for t in texts]
-        pairs = [shared.value.losses(i) for i in ids]
-        target, background = (np.array([p[m] for p in pairs], dtype=np.float64) for m in range(2))
-        return [pa.array([len(i) for i in ids], pa.int64()), pa.array(target), pa.array(background), pa.array(target - background)]
-
-    return map_texts(df, text_col, [id_col], "n_tokens bigint, loss_target double, loss_background double, score double", score, make)
+    both = encoded.join(good.hint("merge"), encoded["id"] == good["__good"], "left").select("id", "tokens", F.col("__good").isNotNull().alias("target"))
+    blocks = materialize(token_blocks(both, vocabulary), "tokens")
+    own = materialize(block_counts(blocks, vocabulary), "bigrams")
+    counts = materialize(own.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "ngrams")
+    rows = counts.where(F.col("key") < _PAIRS).toArrow()  # at most as many as the vocabulary has tokens
+    models = Models(*(rows.column(c).to_numpy() for c in ("key", "target", "background")), vocabulary)
+    shared = df.sparkSession.sparkContext.broadcast(models)
+    known = own.where(F.col("key") >= _PAIRS).select("block", "key").join(counts.where(F.col("key") >= _PAIRS).hint("merge"), "key")
+    schema = StructType([StructField(id_col, df.schema[id_col].dataType), *out.fields])
+
+    def score(docs: pa.Table, pairs: pa.Table) -> pa.Table:
+        keys, held = np.zeros(0, dtype=np.int64), np.zeros((2, 0))
+        if pairs.num_rows:
+            keys, first = np.unique(pairs.column("key").to_numpy(), return_index=True)
+            held = np.stack([pairs.column(c).to_numpy()[first] for c in ("target", "background")]).astype(np.float64)
+        n, losses = [], []
+        for tokens in docs.column("tokens"):
+            ids = np.frombuffer(tokens.as_buffer(), dtype=width)
+            n.append(len(ids))
+            losses.append(shared.value.losses(ids, keys, held))
+        target, background = np.array(losses, dtype=np.float64).T
+        return pa.Table.from_arrays([docs.column("id"), pa.array(n, pa.int64()), pa.array(target), pa.array(background), pa.array(target - background)], names=schema.fieldNames())
+
+    return blocks.select("block", "id", "tokens").groupBy("block").cogroup(known.select("block", "key", "target", "background").groupBy("block")).applyInArrow(score, schema)

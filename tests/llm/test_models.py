@@ -152,6 +152,33 @@ def test_scores_equal_brute_force(spark, edges, edge_rows, no_rows, bpe):
     assert lmscore.score_language(edges, labels.limit(0), JSON, RANKS, P.PATTERN).count() == len(edge_rows)
 
 
+def test_pairs_have_counts_of_their_own(spark, bpe, monkeypatch):
+    """Losses from exact pair counts; with 2^20 slots these pairs shared some.  Documents fall into several blocks, one is longer than a block."""
+    ids = np.arange(1500)
+    keys = lmscore.slots_of(np.stack([np.repeat(ids, 1500), np.tile(ids, 1500)], axis=1).ravel())[::2]
+    assert len(np.unique(keys)) == len(keys) == 1500**2
+    monkeypatch.setattr(lmscore, "BLOCK_TOKENS", 400)
+    rng = random.Random(7)
+    docs = [(i, " ".join(rng.choice(["the", "of", "cat", "sat", "on", "é", "mat"]) for _ in range(rng.randint(0, 150)))) for i in range(60)]
+    docs.append((60, " ".join(rng.choice("abcdefgh") for _ in range(1500))))
+    tokens = {i: bpe.ids(t).tolist() for i, t in docs}
+    single, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for i, t in tokens.items():
+        single[i % 2].update(t)
+        pairs[i % 2].update(zip(t[:-1], t[1:], strict=True))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = lmscore.score_language(df, spark.createDataFrame([(i, 1 - i % 2) for i in range(61)], "doc_id bigint, quality int"), JSON, RANKS, P.PATTERN).collect()
+    assert sorted(r.doc_id for r in got) == list(range(61))
+    for r in got:
+        t, want = tokens[r.doc_id], []
+        for m in range(2):
+            p = {w: (single[m][w] + 1) / (sum(single[m].values()) + 50_257) for w in set(t)}
+            loss = -math.log(p[t[0]]) if t else 0.0
+            loss -= sum(math.log((pairs[m][a, w] + lmscore.PSEUDO * p[w]) / (single[m][a] + lmscore.PSEUDO)) for a, w in zip(t[:-1], t[1:], strict=True))
+            want.append(loss / max(1, len(t)))
+        assert r.n_tokens == len(t) and (r.loss_target, r.loss_background) == pytest.approx(want, rel=1e-9)
+
+
 # --- archives ---
 
 
