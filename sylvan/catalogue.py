@@ -114,6 +114,19 @@ QUERIES: dict[str, Query] = {
         SELECT doc_id AS k, i AS ord, substr(t, CAST(i * 1000 + 1 AS BIGINT), 1000) AS line FROM c""",
         window=None,
     ),
+    # The same of all documents: windows of bytes that end between characters.
+    "linesplit_window_bytes": Query(
+        ("documents",), "SELECT doc_id AS k, replace(text, '\n', ' ') AS text FROM documents",
+        "grammar input:\n    match /[^\\n]+/:\n        out.create('line', '$0')\n", _LINE_NODES,
+        """WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, encode(replace(text, chr(10), ' ')) AS t FROM documents),
+        e AS (SELECT r, doc_id, t, octet_length(t) AS n FROM d),
+        c AS (SELECT r, CAST(-1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM e WHERE n > 0
+        UNION ALL SELECT c.r, i + 1, b, least(n, b + 1000 + CASE WHEN hex(t[b + 1001:b + 1001]) NOT BETWEEN '80' AND 'BF' THEN 0
+        WHEN hex(t[b + 1002:b + 1002]) NOT BETWEEN '80' AND 'BF' THEN 1 WHEN hex(t[b + 1003:b + 1003]) NOT BETWEEN '80' AND 'BF' THEN 2 ELSE 3 END)
+        FROM c JOIN e ON c.r = e.r WHERE b < n)
+        SELECT doc_id AS k, i AS ord, decode(t[a + 1:b]) AS line FROM c JOIN e ON c.r = e.r WHERE i >= 0""",
+        window=None,
+    ),
     "csv_columns": Query(
         ("orders",), grouped("orders", "o_custkey", "o_orderkey", "concat(o_orderkey, ',', o_orderstatus, ', ', o_orderpriority, '\n')"),
         """
