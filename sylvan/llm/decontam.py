@@ -5,9 +5,12 @@ Items are partitioned by their number of shingles, at powers of two.  For each
 partition a document is seen through windows of two blocks that overlap by one
 block, a block being as long as the partition's longest item: a passage lies
 wholly within one window, however long the document is, and makes up at least
-a quarter of it.  Of ``HASHES`` minhashes the item and that window then share
-one in all but one of a million cases.  The documents that share one with an
-item are candidates, for which the item's shingles are looked up exactly.
+a quarter of it, unless it repeats itself or lies scattered.  Minhashes alone
+would miss such items, so candidates are also found exactly: an item of which a
+document has at least ``need`` of ``n`` distinct shingles has one of any
+``n - need + 1`` of them in it, and the rarest so many of each item are looked
+up among the document's shingles.  The documents that either way finds are
+candidates, for which all of the item's shingles are looked up.
 """
 
 from __future__ import annotations
@@ -42,9 +45,9 @@ def _factors() -> np.ndarray:
 
 
 class ItemIndex:
-    """The minhashes of all items of a pass, by size class."""
+    """The minhashes of all items of a pass, by size class, and their rarest shingles."""
 
-    def __init__(self, texts: list[bytes | None], width: int = WIDTH):
+    def __init__(self, texts: list[bytes | None], width: int = WIDTH, percent: int = 80):
         values, counts = shingle_hashes([plain(t) for t in texts], width)
         ends = np.cumsum(counts)
         self.sets = [np.unique(values[e - c : e]) for e, c in zip(ends, counts, strict=True)]
@@ -66,6 +69,35 @@ class ItemIndex:
                 bitmap[(low >> np.uint64(64 - bits)).astype(np.int64)] = True
                 tables.append((bitmap, low[order], np.array(items)[order]))
             self.classes[1 << c] = tables
+        self._index_rarest(percent)
+
+    def _index_rarest(self, percent: int) -> None:
+        """Sorted shingles, their items and a bitmap: of each item as many as
+        a document that contains it can't lack all of."""
+        sizes = np.array([len(x) for x in self.sets], dtype=np.int64)
+        values = np.concatenate([*self.sets, np.zeros(0, dtype=np.uint64)])
+        _, which, often = np.unique(values, return_inverse=True, return_counts=True)
+        item = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((values, often[which], item))  # within an item the rarest first
+        rank = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        need = np.maximum(1, -(-percent * sizes // 100))
+        order = order[rank < np.repeat(sizes - need + 1, sizes)]
+        order = order[np.argsort(values[order], kind="stable")]
+        self.rare, self.rare_items = values[order], item[order]
+        bits = min(22, max(10, (16 * len(order)).bit_length()))
+        self.rare_bits = np.zeros(1 << bits, dtype=bool)
+        self.rare_bits[(self.rare >> np.uint64(64 - bits)).astype(np.int64)] = True
+
+    def exact_candidates(self, values: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item) pairs of which the document has one of the item's rarest shingles."""
+        shift = np.uint64(64 - (len(self.rare_bits).bit_length() - 1))
+        hit = np.flatnonzero(self.rare_bits[(values >> shift).astype(np.int64)])
+        first, last = (np.searchsorted(self.rare, values[hit], side=side) for side in ("left", "right"))
+        n = last - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        doc = np.repeat(np.repeat(np.arange(len(counts)), counts)[hit], n)
+        pairs = np.unique(doc * len(self.sets) + self.rare_items[at])
+        return {divmod(int(x), len(self.sets)) for x in pairs}
 
     def candidates(self, values: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) pairs that share a minhash in a window."""
@@ -110,7 +142,7 @@ class ItemIndex:
         ends = np.cumsum(counts)
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
         sets: dict[int, np.ndarray] = {}
-        for d, i in sorted(self.candidates(values, counts)):
+        for d, i in sorted(self.candidates(values, counts) | self.exact_candidates(values, counts)):
             if d not in sets:
                 sets[d] = np.unique(values[ends[d] - counts[d] : ends[d]])
             shared = int(np.isin(self.sets[i], sets[d], assume_unique=True).sum())
@@ -121,7 +153,7 @@ class ItemIndex:
 
 def _with_hits(df: DataFrame, items: list[tuple], percent: int, width: int, text_col: str, carry: list[str], out: str) -> DataFrame:
     # The index is made here once and travels with the tasks: at most ITEMS_PER_PASS items.
-    index = ItemIndex([t for _, t in items], width)
+    index = ItemIndex([t for _, t in items], width, percent)
     kind = pa.list_(pa.struct([("item", pa.int64()), ("shared", pa.int64()), ("shingles", pa.int64())]))
 
     def find(texts: list[bytes | None]) -> list[pa.Array]:

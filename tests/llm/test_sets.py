@@ -160,6 +160,27 @@ def test_passages_are_found(spark, edges, edge_rows, no_rows):
     assert decontam.contaminated(no_rows, bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_repetitive_and_scattered_items_are_found(spark):
+    """Few distinct shingles at many positions in long documents, and items whose shingles are far apart."""
+    rng = random.Random(12)
+    fresh = iter(range(10**9))
+    words = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    items = []
+    for i, (positions, distinct) in enumerate([(100, 1), (100, 4), (200, 4), (400, 8), (65, 1)] * 8):
+        own = words(distinct)
+        items.append((i, " ".join((own * (positions + 4))[: positions + 4])))
+    items += [(100 + i, " ".join(words(24))) for i in range(5)]
+    docs = [(i, " ".join(words(rng.randint(500, 4000)) + t.split() + words(rng.randint(500, 4000)))) for i, t in items]
+    for i, t in items[-5:]:
+        w = t.split()
+        docs.append((200 + i, " ".join(words(2000) + w[:14] + words(2000) + w[10:] + words(2000))))
+    docs.append((999, " ".join(words(3000))))
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontam.contaminated(df, bench).collect()}
+    assert got == brute_hits(docs, items) and {d for d, *_ in got} == {d for d, _ in docs} - {999}
+    assert [r.doc_id for r in decontam.without_contaminated(df, bench).collect()] == [999]
+
+
 def test_many_items_take_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEMS_PER_PASS", 2)
     items = [(i, f"some words of item number {i} here") for i in range(7)]
