@@ -4,7 +4,8 @@ Base rules find assignments, access keys and hexadecimal strings.  The method
 adds spans of high entropy: over each candidate string (a run of one character
 class) a window slides, its Shannon entropy kept up to date by incremental
 counts; windows above the class's threshold are merged into spans, unless an
-allow-list entry suppresses the candidate.
+allow-list entry suppresses the span.  A run shorter than the window, of
+``LEAST`` characters or more, is one window with a threshold scaled to it.
 """
 
 from __future__ import annotations
@@ -24,29 +25,36 @@ from .common import fresh, map_texts
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-KINDS = ("assign", "access", "hex", "hex_entropy", "base64_entropy")
+KINDS = ("assign", "access", "hex", "hex_entropy", "base64_entropy", "lower_entropy", "upper_entropy", "letters_entropy")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
 @dataclass(frozen=True)
 class EntropyRule:
     """A character class, its window and the entropy (bits per character) from
-    which a window counts as random."""
+    which a window counts as random.  A span must hold a character of each of
+    ``needs``."""
 
     kind: str
     chars: str
     window: int
     bits: float
-    needs_mixed: bool = False
+    needs: tuple[str, ...] = ()
 
 
 ENTROPY_RULES = (
     EntropyRule("hex_entropy", "0-9a-fA-F", 24, 3.0),
-    EntropyRule("base64_entropy", r"A-Za-z0-9+/_=\-", 24, 3.9, needs_mixed=True),
+    EntropyRule("base64_entropy", r"A-Za-z0-9+/_=\-", 24, 3.9, ("[0-9]", "[A-Z]", "[a-z]")),
+    EntropyRule("lower_entropy", "a-z0-9", 24, 3.7, ("[0-9]", "[a-z]")),
+    EntropyRule("upper_entropy", "A-Z0-9", 24, 3.7, ("[0-9]", "[A-Z]")),
+    EntropyRule("letters_entropy", "A-Za-z", 24, 4.1, ("[A-Z]", "[a-z]")),
 )
+#: The shortest run that is a candidate.
+LEAST = 16
 
-#: Candidates that any of these finds are not secrets: addresses, paths of
-#: words, identifiers in words, placeholders.
+#: Spans that any of these finds are not secrets: addresses, paths of words,
+#: identifiers in words, placeholders.  Those that describe a string from end to
+#: end hold for the whole run, too.
 ALLOW = (
     r"(?i)example|placeholder|changeme|xxxx",
     r"^(?:[A-Za-z]+[-_/=+]+)+[A-Za-z]*$",
@@ -82,14 +90,17 @@ def window_entropies(s: str, w: int) -> list[float]:
 
 
 def entropy_spans(s: str, rule: EntropyRule) -> list[tuple[int, int]]:
-    """Merged spans of ``s`` whose windows reach the rule's threshold."""
+    """Merged spans of ``s`` whose windows reach the rule's threshold, which is
+    less for a shorter string, as its entropy can reach less."""
     spans: list[list[int]] = []
-    for i, bits in enumerate(window_entropies(s, rule.window)):
-        if bits >= rule.bits:
+    window = min(rule.window, len(s))
+    least = rule.bits * math.log2(window) / math.log2(rule.window) if window else 0.0
+    for i, bits in enumerate(window_entropies(s, window)):
+        if bits >= least:
             if spans and i <= spans[-1][1]:
-                spans[-1][1] = i + rule.window
+                spans[-1][1] = i + window
             else:
-                spans.append([i, i + rule.window])
+                spans.append([i, i + window])
     return [(a, b) for a, b in spans]
 
 
@@ -107,23 +118,32 @@ def base_spans(text: str, lowered: str | None = None) -> list[tuple[str, int, in
 
 class Scanner:
     def __init__(self, rules=ENTROPY_RULES, allow=ALLOW):
-        self.rules = [(r, re.compile(rf"(?<![{r.chars}])[{r.chars}]{{{r.window},}}")) for r in rules]
+        self.rules = [(r, re.compile(rf"(?<![{r.chars}])[{r.chars}]{{{min(LEAST, r.window)},}}")) for r in rules]
+        self.needs = {r.kind: [re.compile(p) for p in r.needs] for r in rules}
         self.allow = [re.compile(p) for p in allow]
-        least = min((r.window for r in rules), default=32)
+        self.whole = [re.compile(p) for p in allow if p.startswith("^") and p.endswith("$")]
+        least = min((min(LEAST, r.window) for r in rules), default=32)
         every = "".join(r.chars for r in rules) + "0-9a-f"
         #: Runs that any rule but assign and access can match in.
         self.runs = re.compile(rf"[{every}]{{{min(least, 32)},}}")
 
     def added(self, text: str) -> list[tuple[str, int, int]]:
-        out = []
+        out, settled = [], []
         for rule, pattern in self.rules:
             for m in pattern.finditer(text):
                 s = m[0]
-                if any(a.search(s) for a in self.allow):
-                    continue
-                if rule.needs_mixed and not (re.search("[0-9]", s) and re.search("[A-Z]", s) and re.search("[a-z]", s)):
+                needs = self.needs[rule.kind]
+                if any(a.search(s) for a in self.whole) or not all(n.search(s) for n in needs):
                     continue
-                out += [(rule.kind, m.start() + a, m.start() + b) for a, b in entropy_spans(s, rule)]
+                for start, end in entropy_spans(s, rule):
+                    found = s[start:end]
+                    start, end = start + m.start(), end + m.start()
+                    # What an earlier class has found or allowed is settled.
+                    if not all(n.search(found) for n in needs) or any(a <= start and end <= e for a, e in settled):
+                        continue
+                    settled.append((start, end))
+                    if not any(a.search(found) for a in self.allow):
+                        out.append((rule.kind, start, end))
         return out
 
     def scan(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -91,6 +91,27 @@ def test_entropy_finds_and_allows():
         assert scan(clean) == ([], []) or not scan(clean)[1], clean
 
 
+def test_secrets_of_other_alphabets_lengths_and_surroundings():
+    rng = random.Random(2)
+    key = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    scan = secrets.Scanner().scan
+
+    def whole(text, secret):
+        """How much of the secret is in spans of the method."""
+        a = text.index(secret)
+        return len({i for _, s, e in scan(text)[1] for i in range(s, e)} & set(range(a, a + len(secret)))) / len(secret)
+
+    mixed = string.ascii_letters + string.digits
+    for chars, n, least in [(string.ascii_lowercase + string.digits, 40, 0.97), (string.ascii_uppercase + "234567", 40, 0.97), (mixed, 16, 0.85), (mixed, 20, 0.9), (mixed, 23, 0.9), ("0123456789abcdef", 20, 0.9)]:
+        keys = [key(chars, n) for _ in range(300)]
+        assert sum(whole(f"value {k} end", k) >= 0.6 for k in keys) >= least * len(keys), (chars, n)
+    for word in ("example", "xxxx", "placeholder", "0123456789"):
+        k = key(mixed, 40)
+        assert whole(f"value {word}/{'a' * 40}/{k} end", k) == 1, word
+    for clean in ["internationalization", "some_function_name_here", "A" * 20 + "1b", "20240131123456789", "plain words 1234 and more", "donaudampfschifffahrtsgesellschaft"]:
+        assert not scan(clean)[1], clean
+
+
 def test_scan_and_redact(edges, edge_rows, no_rows, spark):
     got = secrets.scan_secrets(edges).collect()
     assert len(got) == len(edge_rows) and all(r.base_spans == "" for r in got)
