@@ -24,10 +24,10 @@ from pyspark.sql import types as T
 
 from .common import byte_slices, map_texts, materialize, mix
 
-#: Labelled texts that the likelihoods are learnt from, at most.
+#: Labelled texts that the likelihoods are learnt from, at most, unless there
+#: are more languages: each has a text at least.  The likelihoods take 256 kB
+#: for each language.
 SAMPLE = 2000
-#: Languages, at most; the likelihoods take 256 kB for each.
-LANGUAGES = 64
 BUCKETS = 1 << 16
 #: Trigrams overlap and repeat: a text counts as at most so many independent ones.
 EVIDENCE = 60.0
@@ -76,12 +76,12 @@ class TextModel:
     """Log probabilities of the trigram buckets in each language."""
 
     def __init__(self, trigrams: list[bytes], langs: list[str]):
-        self.langs = sorted(set(langs))[:LANGUAGES]
+        self.langs = sorted(set(langs))
+        place = {lang: i for i, lang in enumerate(self.langs)}
         counts = np.full((len(self.langs), BUCKETS), 0.1)
         for t, lang in zip(trigrams, langs, strict=True):
-            if lang in self.langs:
-                n = len(t) // 6
-                counts[self.langs.index(lang), np.frombuffer(t, dtype="<u2", count=n)] += np.frombuffer(t, dtype="<u4", offset=2 * n)
+            n = len(t) // 6
+            counts[place[lang], np.frombuffer(t, dtype="<u2", count=n)] += np.frombuffer(t, dtype="<u4", offset=2 * n)
         self.log_p = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
     def likelihoods(self, text: bytes) -> np.ndarray:
@@ -94,10 +94,16 @@ class TextModel:
 
 
 def learn_texts(documents: DataFrame, n: int = SAMPLE, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> TextModel:
-    """Learn from at most ``n`` labelled texts, chosen by hash of their ids."""
+    """Learn from at most ``n`` labelled texts, chosen by hash of their ids,
+    and from one more of each language that none of them is in."""
     labelled = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang")).where("id is not null and lang is not null")
-    chosen = labelled.orderBy(F.xxhash64("id"), "id").limit(n).dropDuplicates(["id"])
-    texts = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null").join(F.broadcast(chosen), "id")  # chosen has at most n rows
+    with_text = documents.where(F.length(F.trim(f"`{text_col}`")) > 0).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang")).where("id is not null and lang is not null")
+    first = with_text.groupBy("lang").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("m")).select("m.id", "lang")
+    most = labelled.orderBy(F.xxhash64("id"), "id").limit(n)
+    # Each language's first text goes in only where the sample has none of it.
+    rare = first.join(most.select("lang").distinct(), "lang", "left_anti").select("id", "lang")
+    chosen = most.dropDuplicates(["id"]).unionByName(rare)
+    texts = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null").join(F.broadcast(chosen), "id")  # chosen has at most n rows, and one for each further language
     count = lambda texts: [pa.array([packed_trigrams(t) for t in texts], pa.binary())]
     rows = map_texts(texts, "text", ["id", "lang"], "trigrams binary", count).dropDuplicates(["id"]).collect()  # at most 400 kB each
     rows.sort(key=lambda r: r.id)
@@ -155,7 +161,8 @@ def identify(pages: DataFrame | None, documents: DataFrame, sample: int = SAMPLE
 
     A null or empty text says nothing, a null or odd url has no host: the prior
     then decides.  Ties go to the first language by name.  A null id is handed
-    on; repeated rows count as often as they stand there.  Without labelled
+    on; repeated rows count as often as they stand there.  Every language that
+    a labelled text is in takes part, however many there are.  Without labelled
     texts to learn from, lang is null.
     """
     model = model or learn_texts(documents, sample)

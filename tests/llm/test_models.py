@@ -258,6 +258,24 @@ def test_fusion(spark):
     assert len(both) == len(rows) + 80 and all((r.doc_id is None) or r.lang == ["aa", "bb"][r.doc_id % 2] for r in both)
 
 
+def test_every_language_takes_part(spark):
+    """More than 64 languages, and a rare one that a sample by hash alone leaves out."""
+    rng = random.Random(11)
+    langs = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopq"]
+    parts = {lang: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(4)] for lang in [*langs, "zz"]}
+    text = lambda lang: " ".join(rng.choice(parts[lang]) for _ in range(40))
+    model = langid.TextModel([langid.packed_trigrams(text(lang).encode()) for lang in langs], langs)
+    assert model.langs == sorted(langs) and len(langs) == 70
+    assert [model.langs[int(model.likelihoods(text(lang).encode()).argmax())] for lang in langs] == langs
+    rows = [(i, text("ak"), "ak") for i in range(300)] + [(1000, text("zz"), "zz"), (1001, "", "zz")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learnt = langid.learn_texts(df, 5)
+    assert learnt.langs == ["ak", "zz"] and learnt.likelihoods(text("zz").encode()).argmax() == 1
+    docs = spark.createDataFrame([(i, text(lang), lang, "s" + lang) for i, lang in enumerate(langs * 2)], "doc_id bigint, text string, lang string, source string")
+    got = langid.identify(None, docs, 20).collect()
+    assert len(got) == 140 and all(r.lang == (langs * 2)[r.doc_id] for r in got)
+
+
 # --- the pipeline ---
 
 
