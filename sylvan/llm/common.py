@@ -21,26 +21,59 @@ BATCH_BYTES = 1 << 20
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session.  Where that is unset (tests
-    on one machine) a temporary folder is made once and set.
+    It is ``spark.checkpoint.dir`` of the session, or else the folder that the
+    context was given.  Only on a single machine, as in tests, a temporary
+    folder is made once where neither is set; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
-        else:
+        elif context.master.startswith("local"):
             base = "file://" + tempfile.mkdtemp(prefix="sylvan-")
-            spark.sparkContext.setCheckpointDir(base)
+            context.setCheckpointDir(base)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/sylvan-{name}-{uuid.uuid4().hex}"
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that knows it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: this cuts
-    the lineage, and survives the loss of executors."""
-    path = scratch_path(df.sparkSession, name)
+    the lineage, and survives the loss of executors.  The table goes when the
+    application ends, or with :func:`discard`."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    store, at = _store(spark, path)
+    store.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sylvan_scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` has made, once nothing reads them."""
+    for t in tables:
+        store, at = _store(t.sparkSession, t._sylvan_scratch)
+        store.delete(at, True)
+
+
+#: Rows of keys that are broadcast at most: some 50 MB in memory.
+SMALL_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """One side of a join: counted, then broadcast if it has at most
+    SMALL_ROWS rows, and merged if it has more."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df.hint("merge")
 
 
 def fresh(df: DataFrame, stem: str) -> str:

@@ -1,15 +1,22 @@
 """Language-model scoring (operator 3): cross-entropy difference.
 
 A target and a background model are bigram models over one vocabulary, the
-tokens of a public byte-level BPE.  Both are counted over whole tables and
+tokens of a public byte-level BPE.  The background is the whole corpus, the
+target its documents with a label of 1.  Both are counted over whole tables and
 exactly: each pair of neighbouring tokens has a row of its own in a written
-table, which grows with the corpus and is never collected.  Texts are encoded
-once and written as blocks of about ``BLOCK_TOKENS`` tokens.  Each block adds up
-its own bigrams; a grouped sum adds up the blocks; joined back, it hands every
-block the counts of the pairs that are in it.  Only the counts of single tokens,
-one row for each of the vocabulary, go to the driver.  A document's score is the
-mean over its tokens of the difference of their losses: the lower, the more it
-looks like the target.
+table, which grows with the corpus and is never collected.  Only the counts of
+single tokens, one row for each of the vocabulary, go to the driver.
+
+The models are matched: the background's counts are scaled to the target's
+number of tokens, so that smoothing weighs the same in both.  No document is
+scored by a model that has seen it: its own counts are taken off first.  A
+document's score is the mean over its tokens of the difference of their losses:
+the lower, the more it looks like the target.
+
+Texts are encoded once and written as blocks of about ``BLOCK_TOKENS`` tokens.
+Each block adds up its own pairs, a grouped sum adds up the blocks, and each
+block gets back what the others have of its pairs; pairs that no other block
+has stay where they are.
 """
 
 from __future__ import annotations
@@ -24,19 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import map_texts, materialize
+from .common import map_texts, materialize, small_side
 from .packing import ByteBpe
 
 #: Tokens of a block of documents, unless one document alone is longer; also
-#: the pairs that a task adds up at once.
-BLOCK_TOKENS = 1 << 21
+#: the pairs that a task adds up or scores at once.
+BLOCK_TOKENS = 1 << 22
 #: How much the unigram weighs against the counts of a context.
-PSEUDO = 20.0
+PSEUDO = 5.0
 #: Keys from here on are pairs, those below are single tokens.
 _PAIRS = 1 << 32
 
 
-def slots_of(ids: np.ndarray) -> np.ndarray:
+def pair_keys(ids: np.ndarray) -> np.ndarray:
     """The key of each pair of neighbouring tokens; no two pairs share one."""
     a = ids.astype(np.int64)
     return ((a[:-1] + 1) << 32) | a[1:]
@@ -68,73 +75,91 @@ def token_blocks(df: DataFrame, vocabulary: int) -> DataFrame:
     return df.mapInArrow(assign, schema)
 
 
+def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts (rows of an array)."""
+    out, at = np.unique(keys, return_inverse=True)
+    return out, np.stack([np.bincount(at, weights=c, minlength=len(out)) for c in counts]).astype(np.int64)
+
+
+def pairs_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a text, and how often it has each."""
+    parts = [np.unique(pair_keys(ids[i : i + BLOCK_TOKENS + 1]), return_counts=True) for i in range(0, max(1, len(ids) - 1), BLOCK_TOKENS)]
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = merged(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])[None])
+    return keys, n[0]
+
+
 def block_counts(blocks: DataFrame, vocabulary: int) -> DataFrame:
-    """(block, key, target, background): how often each block has each pair of
+    """(block, key, target, every): how often each block has each pair of
     tokens, and each task each token.  A key may come more than once."""
     width = _width(vocabulary)
 
-    def summed(block: int, arrays: list[np.ndarray], targets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.unique(np.concatenate(arrays), return_counts=True)
-        target = np.zeros(len(keys), dtype=np.int64)
-        if targets:
-            own, k = np.unique(np.concatenate(targets), return_counts=True)
-            target[np.searchsorted(keys, own)] = k
-        yield from rows(block, keys, target, n - target)
-
-    def rows(block: int, keys: np.ndarray, target: np.ndarray, background: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(block: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(keys), 100_000):
-            part = [x[i : i + 100_000].astype(np.int64) for x in (keys, target, background)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), block, dtype=np.int64)), *map(pa.array, part)], names=["block", "key", "target", "background"])
+            part = [x[i : i + 100_000] for x in (keys, *counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), block, dtype=np.int64)), *map(pa.array, part)], names=["block", "key", "target", "every"])
+
+    def summed(block: int, held: list[tuple[np.ndarray, np.ndarray, bool]]) -> Iterator[pa.RecordBatch]:
+        n = np.concatenate([n for _, n, _ in held])
+        of = np.repeat([good for _, _, good in held], [len(k) for k, _, _ in held])
+        yield from rows(block, *merged(np.concatenate([k for k, _, _ in held]), np.stack([n * of, n])))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single = np.zeros((2, vocabulary), dtype=np.int64)
-        now, every, targets, held = -1, [], [], 0
+        now, held, size = -1, [], 0
         for b in batches:
             for block, tokens, is_target in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 ids = np.frombuffer(tokens.as_buffer(), dtype=width)
-                np.add.at(single[0 if is_target else 1], ids, 1)
-                for i in range(0, len(ids) - 1, BLOCK_TOKENS):
-                    keys = slots_of(ids[i : i + BLOCK_TOKENS + 1])
-                    if held and (block != now or held + len(keys) > BLOCK_TOKENS):
-                        yield from summed(now, every, targets)
-                        every, targets, held = [], [], 0
-                    now = block
-                    every.append(keys)
-                    if is_target:
-                        targets.append(keys)
-                    held += len(keys)
-        if held:
-            yield from summed(now, every, targets)
-        used = np.flatnonzero(single.any(axis=0))
-        yield from rows(-1, used, single[0][used], single[1][used])
-
-    return blocks.select("block", "tokens", "target").mapInArrow(count, "block bigint, key bigint, target bigint, background bigint")
+                np.add.at(single[1], ids, 1)
+                if is_target:
+                    np.add.at(single[0], ids, 1)
+                keys, n = pairs_of(ids)
+                if held and (block != now or size + len(keys) > BLOCK_TOKENS):
+                    yield from summed(now, held)
+                    held, size = [], 0
+                now = block
+                held.append((keys, n, is_target))
+                size += len(keys)
+        if size:
+            yield from summed(now, held)
+        used = np.flatnonzero(single[1])
+        yield from rows(-1, used, single[:, used])
+
+    return blocks.select("block", "tokens", "target").mapInArrow(count, "block bigint, key bigint, target bigint, every bigint")
 
 
 class Models:
-    """The token counts of both models as arrays, and the losses that they and
-    the counts of pairs give."""
+    """The token counts of both models, and the losses that they and the counts
+    of pairs give.  Row 0 of each array is the target, row 1 the whole corpus."""
 
-    def __init__(self, token: np.ndarray, target: np.ndarray, background: np.ndarray, vocabulary: int):
+    def __init__(self, token: np.ndarray, target: np.ndarray, every: np.ndarray, vocabulary: int):
+        self.vocabulary = vocabulary
         self.single = np.zeros((2, vocabulary), dtype=np.float64)
-        self.single[0, token], self.single[1, token] = target, background
-        total = self.single.sum(axis=1, keepdims=True)
-        #: Add-one smoothing over the shared vocabulary.
-        self.unigram = (self.single + 1.0) / (total + vocabulary)
+        self.single[0, token], self.single[1, token] = target, every
+        self.total = self.single.sum(axis=1)
+        #: What brings each model to the target's size; without a target they stay as they are.
+        self.scale = np.array([1.0, self.total[0] / self.total[1] if self.total[0] else 1.0])
 
-    def losses(self, ids: np.ndarray, keys: np.ndarray, pairs: np.ndarray) -> tuple[float, float]:
+    def losses(self, ids: np.ndarray, own: tuple[np.ndarray, np.ndarray], is_target: bool, keys: np.ndarray, pairs: np.ndarray) -> tuple[float, float]:
         """The mean loss of a text's tokens in nats, in the target and in the
-        background model.  ``keys`` are sorted and hold all pairs of the text,
-        ``pairs`` has their counts in either model."""
+        background model, both without the text itself.  ``own`` are the pairs
+        of the text; ``keys`` are sorted and hold all of them, ``pairs`` has
+        their counts in either model."""
         if not len(ids):
             return 0.0, 0.0
-        total = -np.log(self.unigram[:, ids[0]])
-        for i in range(0, len(ids) - 1, BLOCK_TOKENS):
-            part = ids[i : i + BLOCK_TOKENS + 1]
-            at = np.searchsorted(keys, slots_of(part))
-            for m in range(2):
-                total[m] -= np.log((pairs[m][at] + PSEUDO * self.unigram[m][part[1:]]) / (self.single[m][part[:-1]] + PSEUDO)).sum()
-        return float(total[0]) / len(ids), float(total[1]) / len(ids)
+        seen = np.array([[1.0 if is_target else 0.0], [1.0]])  # in which models the text is
+        scale = self.scale[:, None]
+        token, n_token = np.unique(ids, return_counts=True)
+        single = np.maximum(self.single[:, token] - seen * n_token, 0.0) * scale
+        total = np.maximum(self.total[:, None] - seen * len(ids), 0.0) * scale
+        unigram = (single + 1.0) / (total + self.vocabulary)  # add-one smoothing over the shared vocabulary
+        loss = -np.log(unigram[:, np.searchsorted(token, ids[0])])
+        at, n = own
+        pair = np.maximum(pairs[:, np.searchsorted(keys, at)] - seen * n, 0.0) * scale
+        first, second = np.searchsorted(token, (at >> 32) - 1), np.searchsorted(token, at & 0xFFFFFFFF)
+        loss -= (np.log((pair + PSEUDO * unigram[:, second]) / (single[:, first] + PSEUDO)) * n).sum(axis=1)
+        return float(loss[0]) / len(ids), float(loss[1]) / len(ids)
 
 
 def score_language(
@@ -151,10 +176,11 @@ def score_language(
     """One row per input row: ``id_col``, n_tokens, loss_target,
     loss_background, score (their difference; below 0: like the target).
 
-    The target are all documents with a label of 1, the background all others.
-    A null or empty text has no tokens and scores 0; a null id is background;
-    repeated rows count as often as they stand there.  Without a target the
-    target model knows nothing but the vocabulary.
+    The target are all documents with a label of 1, the background is the whole
+    corpus; each document is scored without its own counts.  A null or empty
+    text has no tokens and scores 0; a null id is no target; repeated rows
+    count as often as they stand there, and know each other.  Without a target
+    the target model knows nothing but the vocabulary.
     """
     out = StructType.fromDDL("n_tokens bigint, loss_target double, loss_background double, score double")
     if id_col.lower() in out.fieldNames():
@@ -166,29 +192,36 @@ def score_language(
         return [pa.array([bpe.ids(t.decode("utf-8", "replace")).astype(width).tobytes() if t else b"" for t in texts], pa.binary())]
 
     encoded = map_texts(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", ["id"], "tokens binary", encode, make)
-    good = labels.where(F.col(f"`{label_col}`") == 1).select(F.col(f"`{id_col}`").alias("__good")).distinct()
-    # Merged, whatever the size of the labels: a plan that turns at some size can't be foretold.
-    both = encoded.join(good.hint("merge"), encoded["id"] == good["__good"], "left").select("id", "tokens", F.col("__good").isNotNull().alias("target"))
+    good = labels.where(F.col(f"`{label_col}`") == 1).select(F.col(f"`{id_col}`").alias("__good")).where("__good is not null").distinct()
+    both = encoded.join(small_side(good), encoded["id"] == F.col("__good"), "left").select("id", "tokens", F.col("__good").isNotNull().alias("target"))
     blocks = materialize(token_blocks(both, vocabulary), "tokens")
     own = materialize(block_counts(blocks, vocabulary), "bigrams")
-    counts = materialize(own.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "ngrams")
+    counts = materialize(own.groupBy("key").agg(F.sum("target").alias("target"), F.sum("every").alias("every")), "ngrams")
     rows = counts.where(F.col("key") < _PAIRS).toArrow()  # at most as many as the vocabulary has tokens
-    models = Models(*(rows.column(c).to_numpy() for c in ("key", "target", "background")), vocabulary)
+    models = Models(*(rows.column(c).to_numpy() for c in ("key", "target", "every")), vocabulary)
     shared = df.sparkSession.sparkContext.broadcast(models)
-    known = own.where(F.col("key") >= _PAIRS).select("block", "key").join(counts.where(F.col("key") >= _PAIRS).hint("merge"), "key")
+    # What the other blocks have of each block's pairs.  Merged, whatever the sizes: a plan that turns at some size can't be foretold.
+    mine = own.where(F.col("key") >= _PAIRS).select("block", "key", F.col("target").alias("my_target"), F.col("every").alias("my_every"))
+    others = mine.join(counts.where(F.col("key") >= _PAIRS).hint("merge"), "key").where("every > my_every")
+    others = others.select("block", "key", (F.col("target") - F.col("my_target")).alias("target"), (F.col("every") - F.col("my_every")).alias("every"))
     schema = StructType([StructField(id_col, df.schema[id_col].dataType), *out.fields])
 
-    def score(docs: pa.Table, pairs: pa.Table) -> pa.Table:
-        keys, held = np.zeros(0, dtype=np.int64), np.zeros((2, 0))
-        if pairs.num_rows:
-            keys, first = np.unique(pairs.column("key").to_numpy(), return_index=True)
-            held = np.stack([pairs.column(c).to_numpy()[first] for c in ("target", "background")]).astype(np.float64)
-        n, losses = [], []
-        for tokens in docs.column("tokens"):
-            ids = np.frombuffer(tokens.as_buffer(), dtype=width)
-            n.append(len(ids))
-            losses.append(shared.value.losses(ids, keys, held))
+    def score(docs: pa.Table, outside: pa.Table) -> pa.Table:
+        texts = [np.frombuffer(t.as_buffer(), dtype=width) for t in docs.column("tokens")]
+        is_target = docs.column("target").to_pylist()
+        own = [pairs_of(ids) for ids in texts]
+        n = np.concatenate([n for _, n in own])
+        keys, pairs = merged(np.concatenate([k for k, _ in own]), np.stack([n * np.repeat(is_target, [len(k) for k, _ in own]), n]))
+        if outside.num_rows:
+            # A block may have several rows for a pair, each the whole without a part of the block: k of them are k wholes without the block's own.
+            at = np.searchsorted(keys, outside.column("key").to_numpy())
+            k = np.bincount(at, minlength=len(keys))
+            for m, c in enumerate(("target", "every")):
+                rest = np.bincount(at, weights=outside.column(c).to_numpy(), minlength=len(keys)).astype(np.int64)
+                pairs[m] = np.where(k > 0, (rest + pairs[m]) // np.maximum(k, 1), pairs[m])
+        losses = [shared.value.losses(ids, own, good, keys, pairs) for ids, own, good in zip(texts, own, is_target, strict=True)]
         target, background = np.array(losses, dtype=np.float64).T
-        return pa.Table.from_arrays([docs.column("id"), pa.array(n, pa.int64()), pa.array(target), pa.array(background), pa.array(target - background)], names=schema.fieldNames())
+        lengths = pa.array([len(ids) for ids in texts], pa.int64())
+        return pa.Table.from_arrays([docs.column("id"), lengths, pa.array(target), pa.array(background), pa.array(target - background)], names=schema.fieldNames())
 
-    return blocks.select("block", "id", "tokens").groupBy("block").cogroup(known.select("block", "key", "target", "background").groupBy("block")).applyInArrow(score, schema)
+    return blocks.select("block", "id", "tokens", "target").groupBy("block").cogroup(others.groupBy("block")).applyInArrow(score, schema)

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sylvan.llm import langid, lmscore, packing, quality, warc
+from sylvan.llm import common, langid, lmscore, packing, quality, warc
 
 JSON, RANKS = str(P.path("byte_bpe_50k.json")), str(P.path("byte_bpe_50k.tiktoken"))
 
@@ -125,58 +125,75 @@ def test_repeats_are_terms():
 # --- language models ---
 
 
-def test_scores_equal_brute_force(spark, edges, edge_rows, no_rows, bpe):
-    labels = spark.createDataFrame([(5, 1), (5, 1), (20, 1), (21, 1), (22, 0), (None, 1), (23, None)], "doc_id bigint, quality int")
-    got = {}
-    for r in lmscore.score_language(edges, labels, JSON, RANKS, P.PATTERN).collect():
-        got.setdefault((r.doc_id, r.n_tokens), r)
-    ids = [(r[0], bpe.ids(r[1]) if r[1] else np.zeros(0, np.uint32)) for r in edge_rows]
-    single, pairs = [Counter(), Counter()], [Counter(), Counter()]
-    for i, t in ids:
-        m = 0 if i in (5, 20, 21) else 1
-        single[m].update(t.tolist())
-        pairs[m].update(lmscore.slots_of(t).tolist())
-    for i, t in ids:
+def brute_losses(docs, target):
+    """Of (id, tokens) rows: each one's mean losses in models that have never seen it."""
+    out = []
+    for at, (i, t) in enumerate(docs):
+        others = [(j, u) for k, (j, u) in enumerate(docs) if k != at]
+        models = [[u for j, u in others if j in target], [u for _, u in others]]
+        size = [sum(len(u) for j, u in docs if m or j in target) for m in range(2)]
         want = []
-        for m in range(2):
-            total = sum(single[m].values())
-            p = lambda w, m=m, total=total: (single[m][w] + 1) / (total + 50_257)
-            loss = -math.log(p(int(t[0]))) if len(t) else 0.0
-            for a, w, slot in zip(t[:-1].tolist(), t[1:].tolist(), lmscore.slots_of(t).tolist(), strict=True):
-                c = single[m][a]
-                loss -= math.log((min(pairs[m][slot], c) + lmscore.PSEUDO * p(w)) / (c + lmscore.PSEUDO))
+        for m, texts in enumerate(models):
+            scale = size[0] / size[1] if m and size[0] else 1.0
+            single = Counter(x for u in texts for x in u)
+            pairs = Counter(x for u in texts for x in zip(u[:-1], u[1:], strict=True))
+            p = {w: (single[w] * scale + 1) / (sum(single.values()) * scale + 50_257) for w in set(t)}
+            loss = -math.log(p[t[0]]) if t else 0.0
+            loss -= sum(math.log((pairs[a, w] * scale + lmscore.PSEUDO * p[w]) / (max(0, single[a]) * scale + lmscore.PSEUDO)) for a, w in zip(t[:-1], t[1:], strict=True))
             want.append(loss / max(1, len(t)))
-        r = got[(i, len(t))]
-        assert (r.loss_target, r.loss_background) == pytest.approx(want, rel=1e-6) and r.score == pytest.approx(want[0] - want[1], abs=1e-6)
+        out.append((i, len(t), *want))
+    return out
+
+
+def test_scores_equal_brute_force(spark, edges, edge_rows, no_rows, bpe):
+    labels = spark.createDataFrame([(5, 1), (5, 1), (20, 1), (21, 1), (22, 0), (None, 1), (23, None)], "doc_id bigint, quality int")
+    got = sorted(lmscore.score_language(edges, labels, JSON, RANKS, P.PATTERN).collect(), key=str)
+    want = sorted(brute_losses([(r[0], bpe.ids(r[1]).tolist() if r[1] else []) for r in edge_rows], {5, 20, 21}), key=lambda x: (str(x[0]), x[1]))
+    assert len(got) == len(want)
+    for r, w in zip(sorted(got, key=lambda r: (str(r.doc_id), r.n_tokens)), want, strict=True):
+        assert (r.doc_id, r.n_tokens) == w[:2] and (r.loss_target, r.loss_background) == pytest.approx(w[2:], rel=1e-9) and r.score == pytest.approx(w[2] - w[3], abs=1e-9)
     assert lmscore.score_language(no_rows, labels, JSON, RANKS, P.PATTERN).count() == 0
     assert lmscore.score_language(edges, labels.limit(0), JSON, RANKS, P.PATTERN).count() == len(edge_rows)
 
 
-def test_pairs_have_counts_of_their_own(spark, bpe, monkeypatch):
-    """Losses from exact pair counts; with 2^20 slots these pairs shared some.  Documents fall into several blocks, one is longer than a block."""
+@pytest.mark.parametrize("small", [1_000_000, 5])
+def test_pairs_have_counts_of_their_own(spark, bpe, monkeypatch, small):
+    """Losses from exact pair counts.  Documents fall into several blocks, one
+    is longer than a block, and the labels are merged where they are many."""
     ids = np.arange(1500)
-    keys = lmscore.slots_of(np.stack([np.repeat(ids, 1500), np.tile(ids, 1500)], axis=1).ravel())[::2]
+    keys = lmscore.pair_keys(np.stack([np.repeat(ids, 1500), np.tile(ids, 1500)], axis=1).ravel())[::2]
     assert len(np.unique(keys)) == len(keys) == 1500**2
     monkeypatch.setattr(lmscore, "BLOCK_TOKENS", 400)
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
     rng = random.Random(7)
     docs = [(i, " ".join(rng.choice(["the", "of", "cat", "sat", "on", "é", "mat"]) for _ in range(rng.randint(0, 150)))) for i in range(60)]
     docs.append((60, " ".join(rng.choice("abcdefgh") for _ in range(1500))))
-    tokens = {i: bpe.ids(t).tolist() for i, t in docs}
-    single, pairs = [Counter(), Counter()], [Counter(), Counter()]
-    for i, t in tokens.items():
-        single[i % 2].update(t)
-        pairs[i % 2].update(zip(t[:-1], t[1:], strict=True))
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
     got = lmscore.score_language(df, spark.createDataFrame([(i, 1 - i % 2) for i in range(61)], "doc_id bigint, quality int"), JSON, RANKS, P.PATTERN).collect()
+    want = {w[0]: w[1:] for w in brute_losses([(i, bpe.ids(t).tolist()) for i, t in docs], set(range(0, 61, 2)))}
     assert sorted(r.doc_id for r in got) == list(range(61))
     for r in got:
-        t, want = tokens[r.doc_id], []
-        for m in range(2):
-            p = {w: (single[m][w] + 1) / (sum(single[m].values()) + 50_257) for w in set(t)}
-            loss = -math.log(p[t[0]]) if t else 0.0
-            loss -= sum(math.log((pairs[m][a, w] + lmscore.PSEUDO * p[w]) / (single[m][a] + lmscore.PSEUDO)) for a, w in zip(t[:-1], t[1:], strict=True))
-            want.append(loss / max(1, len(t)))
-        assert r.n_tokens == len(t) and (r.loss_target, r.loss_background) == pytest.approx(want, rel=1e-9)
+        assert r.n_tokens == want[r.doc_id][0] and (r.loss_target, r.loss_background) == pytest.approx(want[r.doc_id][1:], rel=1e-9)
+
+
+def test_a_long_text_is_counted_in_parts(monkeypatch):
+    ids = np.random.default_rng(1).integers(0, 9, 1000).astype("<u2")
+    whole = lmscore.pairs_of(ids)
+    monkeypatch.setattr(lmscore, "BLOCK_TOKENS", 7)
+    assert all((a == b).all() for a, b in zip(whole, lmscore.pairs_of(ids), strict=True)) and whole[1].sum() == 999
+    assert all(not len(x) for x in lmscore.pairs_of(ids[:1]))
+
+
+def test_documents_that_occur_twice_stand_apart(spark):
+    """Scored without itself, a text that is there twice is known, one that is there once isn't."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(2000)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(80))) for i in range(200)]
+    docs += [(1000 + i, docs[i][1]) for i in range(20)]
+    got = lmscore.score_language(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, 1) for i in range(0, 200, 3)], "doc_id bigint, quality int"), JSON, RANKS, P.PATTERN).collect()
+    twice = [r.loss_background for r in got if r.doc_id >= 1000 or r.doc_id < 20]
+    once = [r.loss_background for r in got if 20 <= r.doc_id < 1000]
+    assert max(twice) < min(once)
 
 
 # --- archives ---
