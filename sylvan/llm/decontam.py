@@ -16,19 +16,24 @@ candidates, for which all of the item's shingles are looked up.
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from .common import fresh, map_texts, mix, shingle_hashes
+from .common import discard, fresh, map_texts, materialize, mix, shingle_hashes
 
 HASHES = 48
 WIDTH = 5
 #: Items that one pass over the documents takes; about 1 kB of index each.
 ITEMS_PER_PASS = 50_000
+#: Bytes of their texts that one pass takes; 8 bytes of index for each word.
+BYTES_PER_PASS = 64 << 20
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
@@ -151,24 +156,26 @@ class ItemIndex:
         return out
 
 
-def _with_hits(df: DataFrame, items: list[tuple], percent: int, width: int, text_col: str, carry: list[str], out: str) -> DataFrame:
-    # The index is made here once and travels with the tasks: at most ITEMS_PER_PASS items.
+def _with_hits(df: DataFrame, items: list[tuple], kind: DataType, percent: int, width: int, text_col: str, carry: list[str], out: str) -> DataFrame:
+    # The index is made here once and travels with the tasks: at most ITEMS_PER_PASS items and BYTES_PER_PASS of text.
     index = ItemIndex([t for _, t in items], width, percent)
-    kind = pa.list_(pa.struct([("item", pa.int64()), ("shared", pa.int64()), ("shingles", pa.int64())]))
+    ids = [i for i, _ in items]
+    arrow = pa.list_(pa.struct([("item", to_arrow_type(kind)), ("shared", pa.int64()), ("shingles", pa.int64())]))
 
     def find(texts: list[bytes | None]) -> list[pa.Array]:
-        return [pa.array([[(items[i][0], n, len(index.sets[i])) for i, n in hits] for hits in index.search(texts, percent)], kind)]
+        return [pa.array([[(ids[i], n, len(index.sets[i])) for i, n in hits] for hits in index.search(texts, percent)], arrow)]
 
-    return map_texts(df, text_col, carry, f"`{out}` array<struct<item:bigint,shared:bigint,shingles:bigint>>", find)
+    return map_texts(df, text_col, carry, f"`{out}` array<struct<item:{kind.simpleString()},shared:bigint,shingles:bigint>>", find)
 
 
-def _passes(items: DataFrame, text_col: str, id_col: str) -> list[list[tuple]]:
-    """The items in lists of at most about ITEMS_PER_PASS, by hash of their
-    ids; each list is collected, none larger than the bound allows."""
-    items = items.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    n = 1 + items.count() // ITEMS_PER_PASS
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    return [[(r.id, bytes(r.text) if r.text is not None else None) for r in items.where(part == i).collect()] for i in range(n)]
+def _passes(items: DataFrame, text_col: str, id_col: str) -> tuple[int, Iterator[list[tuple]]]:
+    """How many passes there are, and each one's items, collected one pass at a
+    time: about ITEMS_PER_PASS of them or BYTES_PER_PASS of text, by hash."""
+    items = items.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    every = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes")).first()
+    n = 1 + max(every.n // ITEMS_PER_PASS, (every.bytes or 0) // BYTES_PER_PASS)
+    part = F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(n))
+    return n, ([(r.id, bytes(r.text) if r.text is not None else None) for r in items.where(part == i).collect()] for i in range(n))
 
 
 def contaminated(df: DataFrame, items: DataFrame, percent: int = 80, width: int = WIDTH, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
@@ -178,12 +185,15 @@ def contaminated(df: DataFrame, items: DataFrame, percent: int = 80, width: int
 
     A text of fewer words has its whole word sequence as one shingle; texts
     without words, and null texts, have none and match nothing.  Repeated
-    documents or items give repeated rows; null ids are handed on.
+    documents or items give repeated rows; null ids are handed on.  Ids may be
+    of any type.
     """
-    got = [
-        _with_hits(df, p, percent, width, text_col, [id_col], "__hits").select(F.col(f"`{id_col}`"), F.explode("__hits").alias("h"))
-        for p in _passes(items, item_text, item_id)
-    ]
+    kind = items.schema[item_id].dataType
+    n, passes = _passes(items, item_text, item_id)
+    got = []
+    for part in passes:
+        hits = _with_hits(df, part, kind, percent, width, text_col, [id_col], "__hits").select(F.col(f"`{id_col}`"), F.explode("__hits").alias("h"))
+        got.append(hits if n == 1 else materialize(hits, "hits"))  # written, so that one index at a time is held
     return reduce(DataFrame.unionByName, got).select(
         F.col(f"`{id_col}`"),
         F.col("h.item").alias("item_id"),
@@ -194,9 +204,17 @@ def contaminated(df: DataFrame, items: DataFrame, percent: int = 80, width: int
 
 
 def without_contaminated(df: DataFrame, items: DataFrame, percent: int = 80, width: int = WIDTH, text_col: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """The rows of ``df`` that contain no item, with their columns."""
+    """The rows of ``df`` that contain no item, with their columns.  Null and
+    empty texts contain none; of repeated rows all stay, or all go."""
     columns = df.columns
     hits = fresh(df, "hits")
-    for p in _passes(items, item_text, item_id):
-        df = _with_hits(df, p, percent, width, text_col, columns, hits).where(F.size(f"`{hits}`") == 0).select(*[f"`{c}`" for c in columns])
+    kind = items.schema[item_id].dataType
+    n, passes = _passes(items, item_text, item_id)
+    for i, part in enumerate(passes):
+        before = df
+        df = _with_hits(df, part, kind, percent, width, text_col, columns, hits).where(F.size(f"`{hits}`") == 0).select(*[f"`{c}`" for c in columns])
+        if n > 1:  # written, so that one index at a time is held
+            df = materialize(df, "clean")
+            if i:
+                discard(before)
     return df

@@ -10,10 +10,14 @@ exactly 0.8, and once in 160,000 at 0.85.
 Candidates are verified on the full sets of 64-bit shingle hashes.  Before
 that, an exact bound on the intersection is taken from bitmaps: a bit that only
 one of two documents has stands for at least one shingle that only it has.  No
-bucket is handed on as all its pairs: documents with equal sets collapse first;
-in each bucket the most central document is compared with the others; then
-only documents of a bucket that are still in different components meet, once
-for all tables they share, and only pairs within the bound leave the join.
+bucket is handed on as all its pairs.  Documents with equal sets collapse
+first; in each bucket the most central document is compared with the others.
+Only buckets whose documents are still in different components go on: those of
+at most ``SMALL_BUCKET`` documents are compared pair by pair, once for all
+tables that two documents share.  The documents of larger ones are joined on
+the rarest of their shingles instead: of two sets that are similar enough, each
+has one of the other's ``n - need + 1`` rarest, whatever they hold of a text
+that thousands share, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -22,15 +26,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import distinct_by_group, map_texts, materialize, mix, shingle_hashes
+from .common import discard, distinct_by_group, fresh, map_texts, materialize, mix, shingle_hashes, small_side
 from .components import connected_components
 
 HALVES, ROWS = 12, 2
 #: Bits of the bitmaps, in numbers of 64.
 BITMAP = 32
+#: Documents of a bucket that are compared pair by pair, at most.
+SMALL_BUCKET = 64
 _PAIRS = [(i, j) for i in range(HALVES) for j in range(i + 1, HALVES)]
 
 
@@ -47,31 +53,34 @@ def minhashes(values: np.ndarray, counts: np.ndarray, n: int, seed: int = 1) ->
     return out
 
 
+def _digests(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A 128-bit digest of each group of sorted distinct hashes."""
+    import xxhash
+
+    ends = np.cumsum(counts)
+    return pa.array([xxhash.xxh3_128_digest(values[e - c : e].tobytes()) for e, c in zip(ends, counts, strict=True)], pa.binary())
+
+
 def signatures(df: DataFrame, width: int, text_col: str, id_col: str) -> DataFrame:
-    """One row per document: id, n (distinct shingles), s1 and s2 (a digest of
-    the set), halves (32 bits of each half key)."""
+    """One row per document: id, n (distinct shingles), digest (of their set),
+    halves (32 bits of each half key)."""
 
     def sign(texts: list[bytes | None]) -> list[pa.Array]:
-        import xxhash
-
         values, counts = distinct_by_group(*shingle_hashes(texts, width))
-        ends = np.cumsum(counts)
-        digests = b"".join(xxhash.xxh3_128_digest(values[e - c : e].tobytes()) for e, c in zip(ends, counts, strict=True))
-        pairs = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
         m = minhashes(values, counts, HALVES * ROWS)
         half = np.zeros((len(texts), HALVES), dtype=np.uint64)
         for r in range(ROWS):
             half = mix(half + m[:, r::ROWS] + np.uint64(r + 1))
         halves = (half >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        return [pa.array(counts, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(list(halves), pa.list_(pa.int32()))]
+        return [pa.array(counts, pa.int64()), _digests(values, counts), pa.array(list(halves), pa.list_(pa.int32()))]
 
-    got = map_texts(df, text_col, [id_col], "n bigint, s1 bigint, s2 bigint, halves array<int>", sign)
-    return got.withColumnRenamed(id_col, "id") if id_col != "id" else got
+    taken = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return map_texts(taken, "text", ["id"], "n bigint, digest binary, halves array<int>", sign)
 
 
-def shingle_sets(df: DataFrame, width: int, text_col: str, id_col: str) -> DataFrame:
-    """(id, n, shingles, bitmap): the distinct shingle hashes of each document,
-    and the bits that they set."""
+def shingle_sets(df: DataFrame, width: int, text_col: str, carry: list[str]) -> DataFrame:
+    """``carry``, then (n, set_digest, shingles, bitmap): the distinct shingle
+    hashes of each document, and the bits that they set."""
 
     def collect(texts: list[bytes | None]) -> list[pa.Array]:
         values, counts = distinct_by_group(*shingle_hashes(texts, width))
@@ -79,10 +88,10 @@ def shingle_sets(df: DataFrame, width: int, text_col: str, id_col: str) -> DataF
         bits = np.zeros((len(texts), 64 * BITMAP), dtype=bool)
         bits[np.repeat(np.arange(len(texts)), counts), (values % np.uint64(64 * BITMAP)).astype(np.int64)] = True
         bitmap = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-        return [pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64))), pa.array(list(bitmap), pa.list_(pa.int64()))]
+        sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+        return [pa.array(counts, pa.int64()), _digests(values, counts), sets, pa.array(list(bitmap), pa.list_(pa.int64()))]
 
-    got = map_texts(df, text_col, [id_col], "n bigint, shingles array<bigint>, bitmap array<bigint>", collect)
-    return got.withColumnRenamed(id_col, "id") if id_col != "id" else got
+    return map_texts(df, text_col, carry, "n bigint, set_digest binary, shingles array<bigint>, bitmap array<bigint>", collect)
 
 
 def table_keys() -> Column:
@@ -115,59 +124,140 @@ def _side(df: DataFrame, x: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (id_a, id_b) whose full sets are similar enough."""
-    both = pairs.join(_side(sets, "b"), "id_b").join(_side(sets, "a"), "id_a")
+    """The (node_a, node_b) whose full sets are similar enough."""
+    both = pairs.join(_side(sets, "b"), "node_b").join(_side(sets, "a"), "node_a")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("id_a", "id_b")
+    return both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("node_a", "node_b")
 
 
-def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per input row: ``id_col``, n_shingles, component_id, kept.
+def _meetings(loose: DataFrame, bounds: DataFrame, halves: DataFrame, percent: int) -> DataFrame:
+    """(node_a, node_b) of buckets (key, table, node, part) of a bounded size:
+    documents of different parts within the bounds, each pair once."""
+    full = loose.join(bounds, "node").join(halves, "node")
+    meet = (F.col("part_a") < F.col("part_b")) & _first_meeting() & _in_bound(percent)
+    return _side(full, "a").join(_side(full, "b"), "key").where(meet).select("node_a", "node_b").distinct()
 
-    Two documents are linked if 100 times the size of the intersection of
-    their sets of ``width``-word shingles is at least ``percent`` times that of
-    the union.  ``component_id`` is the smallest id reachable, ``kept`` whether
-    that is the row's own.  Empty and null texts are linked with nothing.  Ids
-    identify documents: repeated rows get equal results, and rows that share an
-    id but not a text are each placed by their own text.  A null id is linked
-    with nothing: component_id is null, and the row is kept.
+
+def rare_meetings(docs: DataFrame, percent: int) -> DataFrame:
+    """(node_a, node_b): a superset of the similar pairs of different parts
+    among ``docs`` (node, part, n, shingles), found by exact filters.
+
+    Two sets whose similarity reaches ``percent`` share one of the ``n - need +
+    1`` rarest shingles of each, ``need`` being what either must share with the
+    other.  A shingle's most frequent part isn't joined with itself, and sizes
+    within the bound fall into the same or neighbouring bands.
     """
-    signed = materialize(signatures(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), width, text_col, id_col), "signatures")
+    entries = docs.select("node", "part", "n", F.explode("shingles").alias("s"))
+    often = entries.groupBy("s").agg(F.count("*").alias("often"), F.min("part").alias("p1"), F.max("part").alias("p2"))
+    need = F.expr(f"({percent} * n + 99) div 100")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "s"))
+    rare = entries.join(often, "s").withColumn("rank", rank).where((F.col("rank") <= F.col("n") - need + 1) & (F.col("p1") < F.col("p2")))
+    # A step of the bands is the largest ratio of sizes that the bound allows.
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) + 1e-9)) if percent < 100 else F.col("n")
+    rare = materialize(rare.select("s", "node", "part", "n", band.alias("band")), "rare")
+    main = rare.groupBy("s", "part").count().groupBy("s").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+    left = rare.join(main, "s").where("part <> main").withColumn("at", F.explode(F.expr("array(band - 1, band, band + 1)")))
+    left = left.select("s", "at", "main", F.col("node").alias("node_a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"))
+    right = rare.select("s", F.col("band").alias("at"), F.col("node").alias("node_b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"))
+    once = (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    pairs = left.join(right, ["s", "at"]).where(once & sizes).select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b"))
+    out = materialize(pairs.distinct(), "meetings")
+    discard(rare)
+    return out
+
+
+def place_documents(df: DataFrame, width: int, percent: int, text_col: str, id_col: str) -> DataFrame:
+    """A written table with a row for each input row: id, digest, n, root (the
+    smallest id reachable; null for a null id)."""
+    signed = materialize(signatures(df, width, text_col, id_col), "signatures")
     usable = signed.where("n > 0 and id is not null")
-    classes = materialize(usable.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("halves").alias("halves")), "classes")
+    # Equal sets are one node, which is numbered when the table is written.
+    classes = usable.groupBy("digest").agg(F.min("id").alias("id"), F.first("halves").alias("halves"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    keyed = classes.select("id", F.inline(table_keys()))
+    keyed = classes.select("node", F.inline(table_keys()))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = materialize(keyed.join(sizes, "key"), "shared")  # (key, id, table, size): buckets of two and more
-
-    ids = shared.select("id").distinct()
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, "id", "left_semi")
-    sets = materialize(shingle_sets(texts, width, "text", "id"), "sets")
-    bounds = sets.select("id", "n", "bitmap")
+    shared = materialize(keyed.join(sizes, "key"), "shared")  # (key, node, table, size): buckets of two and more
+
+    # The texts of the nodes in them: of each node its smallest id's, told by their digest from others of that id.
+    chosen = classes.join(shared.select("node").distinct(), "node", "left_semi").select("id", "node", "digest")
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(small_side(chosen), "id").select("node", "digest", "text")
+    sets = shingle_sets(texts, width, "text", ["node", "digest"]).where("digest = set_digest").select("node", "n", "shingles", "bitmap")
+    sets = materialize(sets, "sets")
+    if sets.count() > sets.select("node").distinct().count():  # rows that repeat
+        repeated, sets = sets, materialize(sets.dropDuplicates(["node"]), "sets")
+        discard(repeated)
+    bounds = sets.select("node", "n", "bitmap")
 
     # In each bucket, the document with the most company is compared with all others.
-    company = shared.groupBy("id").agg(F.sum("size").alias("company"))
-    centre = shared.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("least"), "id")).alias("c"))
-    stars = shared.join(centre.select("key", F.col("c.id").alias("id_a")), "key").where("id <> id_a").select("id_a", F.col("id").alias("id_b")).distinct()
-    stars = stars.join(_side(bounds, "b"), "id_b").join(_side(bounds, "a"), "id_a").where(_in_bound(percent)).select("id_a", "id_b")
+    company = shared.groupBy("node").agg(F.sum("size").alias("company"))
+    centre = shared.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("node_a"))
+    stars = shared.join(centre, "key").where("node <> node_a").select("node_a", F.col("node").alias("node_b")).distinct()
+    stars = stars.join(_side(bounds, "b"), "node_b").join(_side(bounds, "a"), "node_a").where(_in_bound(percent)).select("node_a", "node_b")
     links = materialize(_verified(stars, sets, percent), "links")
 
     # Documents of a bucket that are in different components now are compared with each other.
-    part = connected_components(links, "id_a", "id_b")
-    placed = shared.join(part, shared.id == part.node, "left").select("key", "table", "id", F.coalesce("component", "id").alias("part"))
+    part = connected_components(links, "node_a", "node_b")
+    placed = shared.join(part, "node", "left").select("key", "table", "size", "node", F.coalesce("component", "node").alias("part"))
     open_keys = placed.groupBy("key").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2").select("key")
-    loose = placed.join(open_keys, "key").join(bounds, "id").join(classes.select("id", "halves"), "id")
-    loose = materialize(loose, "loose")
-    meet = (F.col("part_a") < F.col("part_b")) & _first_meeting() & _in_bound(percent)
-    pairs = _side(loose, "a").join(_side(loose, "b"), "key").where(meet).select("id_a", "id_b").distinct()
-    links = materialize(links.unionByName(_verified(pairs, sets, percent)), "links")
+    loose = materialize(placed.join(open_keys, "key"), "loose")
+    few = _meetings(loose.where(F.col("size") <= SMALL_BUCKET).drop("size"), bounds, classes.select("node", "halves"), percent)
+    many = loose.where(F.col("size") > SMALL_BUCKET).select("node", "part").distinct().join(sets.select("node", "n", "shingles"), "node")
+    meetings = rare_meetings(many, percent)
+    more = meetings.join(_side(bounds, "b"), "node_b").join(_side(bounds, "a"), "node_a").where(_in_bound(percent)).select("node_a", "node_b")
+    all_links = materialize(links.unionByName(_verified(few.unionByName(more).distinct(), sets, percent)), "links")
+    discard(shared, sets, part, loose, meetings, links)
+
+    whole = connected_components(all_links, "node_a", "node_b")
+    grouped = classes.join(whole, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component"))
+    least = grouped.groupBy("component").agg(F.min("id").alias("root"))
+    roots = grouped.join(least, "component").select("digest", "root")
+    alone = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("root")).otherwise(F.col("id"))
+    out = materialize(signed.drop("halves").join(roots, "digest", "left").select("id", "digest", "n", alone.alias("root")), "placed")
+    discard(signed, classes, all_links, whole)
+    return out
+
 
-    whole = connected_components(links, "id_a", "id_b")
-    roots = classes.join(whole, classes.id == whole.node, "left").select("s1", "s2", F.coalesce("component", "id").alias("root"))
-    placed = signed.join(roots, ["s1", "s2"], "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("root")).otherwise(F.col("id")).alias("root"))
-    return placed.select(
+def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per input row: ``id_col``, n_shingles, component_id, kept.
+
+    Two documents are linked if 100 times the size of the intersection of
+    their sets of ``width``-word shingles is at least ``percent`` times that of
+    the union.  ``component_id`` is the smallest id reachable, ``kept`` whether
+    that is the row's own.  Empty and null texts are linked with nothing.
+    Repeated rows get equal results, and rows that share an id but not a text
+    are each placed by their own text.  A null id is linked with nothing:
+    component_id is null, and the row is kept.  Ids may be of any type that
+    has an order.
+    """
+    return place_documents(df, width, percent, text_col, id_col).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.col("root").alias("component_id"),
         F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"),
     )
+
+
+def without_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of each group of near duplicates, with its columns: that of the
+    smallest id.
+
+    Of rows that repeat an id and its set of shingles one stays; rows of one id
+    with different texts are each placed by their own text.  Empty and null texts and null ids are in no group: all
+    such rows stay but for repeated ones that have an id.
+    """
+    placed = place_documents(df, width, percent, text_col, id_col)
+    ids = placed.where("id is not null").groupBy("id").agg(F.count("*").alias("rows"), F.max("root").alias("root"))
+    dropped = ids.where("rows = 1 and root <> id").select("id")
+    repeated = ids.where("rows > 1").select("id")
+    own = F.col(f"`{id_col}`")
+    columns = [f"`{c}`" for c in df.columns]
+    single = df.join(small_side(dropped.unionByName(repeated)).withColumnRenamed("id", "__id"), own == F.col("__id"), "left_anti")
+    again = df.join(small_side(repeated).withColumnRenamed("id", "__id"), own == F.col("__id"), "left_semi")
+    digest = fresh(df, "set_digest")
+    make = lambda texts: [_digests(*distinct_by_group(*shingle_hashes(texts, width)))]
+    told = map_texts(again, text_col, df.columns, f"`{digest}` binary", make)
+    kept = placed.where("root = id").select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    told = told.join(kept, (own == F.col("__id")) & (F.col(f"`{digest}`") == F.col("__digest")), "left_semi")
+    return single.select(*columns).unionByName(told.dropDuplicates([id_col, digest]).select(*columns))

@@ -66,9 +66,11 @@ def test_edges_equal_brute_force(edges, edge_rows, no_rows, k):
     assert neardup.near_duplicates(no_rows).count() == 0
 
 
-def test_chains_and_hubs_equal_brute_force(spark):
+@pytest.mark.parametrize("small_bucket", [neardup.SMALL_BUCKET, 1])
+def test_chains_and_hubs_equal_brute_force(spark, monkeypatch, small_bucket):
     """Near copies of an original, of which many are too far from each other,
     chains of small changes, and texts that share a passage only."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", small_bucket)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     rows, passage = [], [word() for _ in range(30)]
@@ -92,13 +94,46 @@ def test_chains_and_hubs_equal_brute_force(spark):
     assert got == want
 
 
+def test_rows_that_share_an_id_are_placed_by_their_own_text(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (5, a + " x"), (5, b), (9, b + " y"), (5, b), (7, None), (7, ""), (7, ""), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in neardup.near_duplicates(df, width=2).collect())
+    assert got == sorted([(1, 39, 1, True), (5, 40, 1, False), (5, 39, 5, True), (5, 39, 5, True), (9, 40, 5, False)] + [(7, 0, 7, True)] * 3 + [(-1, 39, -1, True)] * 2)
+    kept = sorted((r.doc_id or -1, r.text or "") for r in neardup.without_near_duplicates(df, width=2).collect())
+    assert kept == sorted([(1, a), (5, b), (7, ""), (-1, a), (-1, a)])
+
+
+def test_ids_of_any_type_and_extra_columns(spark, edges, no_rows):
+    text = " ".join(map(str, range(30)))
+    df = spark.createDataFrame([("b", text, {"x": 1}), ("a", text, {}), ("c", "else", None)], "key string, body string, more map<string,int>")
+    got = {r.key: (r.component_id, r.kept) for r in neardup.near_duplicates(df, text_col="body", id_col="key").collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("c", True)}
+    kept = neardup.without_near_duplicates(df, text_col="body", id_col="key")
+    assert kept.columns == df.columns and sorted(r.key for r in kept.collect()) == ["a", "c"]
+    assert neardup.without_near_duplicates(edges).columns == edges.columns and neardup.without_near_duplicates(no_rows).count() == 0
+
+
+def test_many_pages_of_one_template(spark):
+    """One bucket of pages that share two thirds of their shingles, and no more: no pair of them is a candidate."""
+    from pyspark.sql import functions as F
+
+    template = " ".join(f"t{i}" for i in range(100))
+    pages = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(template), *[F.concat(F.lit("own"), F.col("id"), F.lit("x"), F.lit(i)) for i in range(45)]).alias("text"))
+    sets = neardup.shingle_sets(pages.select(F.col("doc_id").alias("node"), "text"), 2, "text", ["node"]).withColumn("part", F.col("node"))
+    assert neardup.rare_meetings(sets, 80).count() == 0
+    near = spark.range(2000, 2010).select(F.col("id").alias("doc_id"), F.concat(F.lit(template), F.lit(" own"), F.col("id")).alias("text"))
+    got = neardup.near_duplicates(pages.unionByName(near), width=2).where("doc_id <> component_id").collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, 2000) for i in range(2001, 2010)]
+
+
 def test_the_bitmap_bound_loses_nothing(spark):
     rng = random.Random(2)
     rows = []
     for i in range(30):
         w = [str(x) for x in range(rng.randint(1, 5000))]
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w + ["z"] * 1 + [str(rng.random()) for _ in range(len(w) // 8)]))]
-    sets = neardup.shingle_sets(spark.createDataFrame(rows, "doc_id bigint, text string"), 1, "text", "doc_id")
+    sets = neardup.shingle_sets(spark.createDataFrame(rows, "node bigint, text string"), 1, "text", ["node"])
     from pyspark.sql import functions as F
 
     both = neardup._side(sets, "a").crossJoin(neardup._side(sets, "b"))  # 3600 rows
@@ -155,7 +190,11 @@ def test_passages_are_found(spark, edges, edge_rows, no_rows):
     clean = decontam.without_contaminated(df, bench)
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {x[0] for x in got}
     edge = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontam.contaminated(edges, bench).collect()}
-    assert edge == brute_hits([(r[0], r[1]) for r in edge_rows], items) and (None, None, 3, 3) not in edge or True
+    assert edge == brute_hits([(r[0], r[1]) for r in edge_rows], items)
+    more = [*items[:5], (103, edge_rows[5][1]), (104, edge_rows[9][1][5000:6000]), (None, edge_rows[8][1])]
+    edge = sorted(map(str, decontam.contaminated(edges, spark.createDataFrame(more, "item_id bigint, text string")).collect()))
+    want = sorted(str((d, i, n, k)) for r in edge_rows for d, i, n, k in brute_hits([(r[0], r[1])], more))
+    assert len(edge) == len(want) > 10
     assert decontam.without_contaminated(edges, bench).columns == edges.columns
     assert decontam.contaminated(no_rows, bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
@@ -181,12 +220,13 @@ def test_repetitive_and_scattered_items_are_found(spark):
     assert [r.doc_id for r in decontam.without_contaminated(df, bench).collect()] == [999]
 
 
-def test_many_items_take_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "ITEMS_PER_PASS", 2)
-    items = [(i, f"some words of item number {i} here") for i in range(7)]
-    docs = [(i, f"before {t} after") for i, t in items] + [(9, "nothing of that")]
-    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()} == {(i, i) for i in range(7)}
+@pytest.mark.parametrize(("limit", "most"), [("ITEMS_PER_PASS", 2), ("BYTES_PER_PASS", 70), ("ITEMS_PER_PASS", 100)])
+def test_many_items_of_any_id_take_several_passes(spark, monkeypatch, limit, most):
+    monkeypatch.setattr(decontam, limit, most)
+    items = [(f"item {i}", f"some words of item number {i} here") for i in range(7)]
+    docs = [(i, f"before {t} after") for i, (_, t) in enumerate(items)] + [(9, "nothing of that")]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()} == {(i, f"item {i}") for i in range(7)}
     assert [r.doc_id for r in decontam.without_contaminated(df, bench).collect()] == [9]
 
 
