@@ -4,7 +4,7 @@ Base rules find assignments, access keys and hexadecimal strings.  The method
 adds spans of high entropy: over each candidate string (a run of one character
 class) a window slides, its Shannon entropy kept up to date by incremental
 counts; windows above the class's threshold are merged into spans, unless an
-allow-list entry suppresses the span.  A run shorter than the window, of
+allow-list entry suppresses them.  A run shorter than the window, of
 ``LEAST`` characters or more, is one window with a threshold scaled to it.
 """
 
@@ -52,9 +52,10 @@ ENTROPY_RULES = (
 #: The shortest run that is a candidate.
 LEAST = 16
 
-#: Spans that any of these finds are not secrets: addresses, paths of words,
-#: identifiers in words, placeholders.  Those that describe a string from end to
-#: end hold for the whole run, too.
+#: What is no secret: paths and identifiers in words, numbers, placeholders.
+#: Patterns that describe a string from end to end suppress a whole run or span;
+#: of the others, only the windows that touch what they find, and the letters
+#: and digits joined to it, are suppressed: a key beside such a word is found.
 ALLOW = (
     r"(?i)example|placeholder|changeme|xxxx",
     r"^(?:[A-Za-z]+[-_/=+]+)+[A-Za-z]*$",
@@ -89,14 +90,15 @@ def window_entropies(s: str, w: int) -> list[float]:
     return out
 
 
-def entropy_spans(s: str, rule: EntropyRule) -> list[tuple[int, int]]:
+def entropy_spans(s: str, rule: EntropyRule, allowed: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
     """Merged spans of ``s`` whose windows reach the rule's threshold, which is
-    less for a shorter string, as its entropy can reach less."""
+    less for a shorter string, as its entropy can reach less.  Windows that
+    touch an allowed place don't count."""
     spans: list[list[int]] = []
     window = min(rule.window, len(s))
     least = rule.bits * math.log2(window) / math.log2(rule.window) if window else 0.0
     for i, bits in enumerate(window_entropies(s, window)):
-        if bits >= least:
+        if bits >= least and not any(a < i + window and i < b for a, b in allowed):
             if spans and i <= spans[-1][1]:
                 spans[-1][1] = i + window
             else:
@@ -120,30 +122,45 @@ class Scanner:
     def __init__(self, rules=ENTROPY_RULES, allow=ALLOW):
         self.rules = [(r, re.compile(rf"(?<![{r.chars}])[{r.chars}]{{{min(LEAST, r.window)},}}")) for r in rules]
         self.needs = {r.kind: [re.compile(p) for p in r.needs] for r in rules}
-        self.allow = [re.compile(p) for p in allow]
         self.whole = [re.compile(p) for p in allow if p.startswith("^") and p.endswith("$")]
+        self.places = [re.compile(p) for p in allow if not (p.startswith("^") and p.endswith("$"))]
+        self.word = re.compile("[A-Za-z0-9]*")
+        self.joins = re.compile("[A-Za-z0-9]").match
         least = min((min(LEAST, r.window) for r in rules), default=32)
         every = "".join(r.chars for r in rules) + "0-9a-f"
         #: Runs that any rule but assign and access can match in.
         self.runs = re.compile(rf"[{every}]{{{min(least, 32)},}}")
 
+    def allowed(self, text: str) -> list[tuple[int, int]]:
+        """The allowed places of a text, with the letters and digits joined to them."""
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(m.span() for p in self.places for m in p.finditer(text)):
+            if out and b <= out[-1][1]:
+                continue
+            end = self.word.match(text, b).end()
+            while a and self.joins(text[a - 1]):
+                a -= 1
+            out.append((a, end))
+        return out
+
     def added(self, text: str) -> list[tuple[str, int, int]]:
-        out, settled = [], []
+        out: list[tuple[str, int, int]] = []
+        allowed = None
         for rule, pattern in self.rules:
             for m in pattern.finditer(text):
-                s = m[0]
+                s, at = m[0], m.start()
                 needs = self.needs[rule.kind]
                 if any(a.search(s) for a in self.whole) or not all(n.search(s) for n in needs):
                     continue
-                for start, end in entropy_spans(s, rule):
+                if allowed is None:
+                    allowed = self.allowed(text)
+                for start, end in entropy_spans(s, rule, [(a - at, b - at) for a, b in allowed if a < m.end() and at < b]):
                     found = s[start:end]
-                    start, end = start + m.start(), end + m.start()
-                    # What an earlier class has found or allowed is settled.
-                    if not all(n.search(found) for n in needs) or any(a <= start and end <= e for a, e in settled):
+                    start, end = start + at, end + at
+                    # What an earlier class has found isn't reported again.
+                    if not all(n.search(found) for n in needs) or any(a.search(found) for a in self.whole) or any(a <= start and end <= e for _, a, e in out):
                         continue
-                    settled.append((start, end))
-                    if not any(a.search(found) for a in self.allow):
-                        out.append((rule.kind, start, end))
+                    out.append((rule.kind, start, end))
         return out
 
     def scan(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

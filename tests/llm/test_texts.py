@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+from collections import Counter
 
 import public_tokenizers as P
 import pytest
@@ -112,6 +113,55 @@ def test_secrets_of_other_alphabets_lengths_and_surroundings():
         assert not scan(clean)[1], clean
 
 
+def brute_added(text):
+    """Every window of every run of each class, by counting its characters anew."""
+    out, blocked = [], set()
+    for a, b in (x.span() for p in secrets.ALLOW if p[0] != "^" for x in re.finditer(p, text)):
+        while a and re.match("[A-Za-z0-9]", text[a - 1]):
+            a -= 1
+        while b < len(text) and re.match("[A-Za-z0-9]", text[b]):
+            b += 1
+        blocked |= set(range(a, b))
+    for rule in secrets.ENTROPY_RULES:
+        for m in re.finditer(rf"[{rule.chars}]+", text):
+            run = m[0]
+            if len(run) < secrets.LEAST or any(re.search(p, run) for p in secrets.ALLOW if p[0] == "^") or not all(re.search(n, run) for n in rule.needs):
+                continue
+            w = min(rule.window, len(run))
+            windows = [i for i, bits in enumerate(brute_entropy(run, w)) if bits >= rule.bits * math.log2(w) / math.log2(rule.window) - 1e-12 and not blocked & set(range(m.start() + i, m.start() + i + w))]
+            spans = []
+            for i in windows:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + w
+                else:
+                    spans.append([i, i + w])
+            for a, b in spans:
+                x = run[a:b]
+                a, b = a + m.start(), b + m.start()
+                if all(re.search(n, x) for n in rule.needs) and not any(re.search(p, x) for p in secrets.ALLOW if p[0] == "^") and not any(s <= a and b <= e for _, s, e in out):
+                    out.append((rule.kind, a, b))
+    return sorted(out, key=lambda x: (x[1], secrets.KINDS.index(x[0]), x[2]))
+
+
+def test_added_spans_equal_a_scan_of_every_window():
+    rng = random.Random(8)
+    alphabets = [string.ascii_lowercase, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters, string.ascii_letters + string.digits + "+/=_-", "0123456789abcdef", "ab"]
+    found = 0
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 8)):
+            parts.append(rng.choice(["example", "xxxx", "placeholder", "0123456789", "/", "-", " ", "é", "some-words-here", "", ""]))
+            parts.append("".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(0, 5))))
+            chars = rng.choice(alphabets)
+            parts.append("".join(rng.choice(chars) for _ in range(rng.randint(0, 60))))
+        text = "".join(parts)
+        want = brute_added(text)
+        found += len(want)
+        assert sorted(secrets.Scanner().added(text), key=lambda x: (x[1], secrets.KINDS.index(x[0]), x[2])) == want, text
+    assert found > 300
+    assert secrets.Scanner().added("x" * 300_000 + " " + "Ab3" * 5 + "kQ7zP0wL5tR2mB8nV4cX1") == brute_added(" " * 300_001 + "Ab3" * 5 + "kQ7zP0wL5tR2mB8nV4cX1") != []
+
+
 def test_scan_and_redact(edges, edge_rows, no_rows, spark):
     got = secrets.scan_secrets(edges).collect()
     assert len(got) == len(edge_rows) and all(r.base_spans == "" for r in got)
@@ -133,20 +183,35 @@ def brute_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    hit = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)} if len(words) < 3000 else None
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), hit and len(hit) or 0 if hit is not None else None
+    often = Counter(windows)
+    hit = {i + j for i, w in enumerate(windows) if often[w] > 1 for j in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit)
+
+
+def brute_fertility(text, model):
+    """Tokens, characters a token, fallback share and entropy, and what the bands say of them."""
+    ids = model.encode(text)
+    if not ids:
+        return 0, 0.0, 0.0, 0.0, False
+    fallback = sum(model.is_byte(i) and model.id_to_piece(i) not in ("<0x09>", "<0x0A>", "<0x0D>") for i in ids) / len(ids)
+    entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in Counter(ids).values())
+    band, per = rules.BANDS[rules.script_of(text)], len(text) / len(ids)
+    inside = band.chars_per_token[0] <= per <= band.chars_per_token[1] and fallback <= band.most_fallback
+    return len(ids), per, fallback, entropy, inside and (len(ids) < band.least_tokens or band.entropy[0] <= entropy <= band.entropy[1])
 
 
-def test_base_rules(edges, edge_rows, no_rows):
+def test_rules_equal_brute_force(edges, edge_rows, no_rows, piece):
     got = {(r.doc_id, r.n_words): r for r in rules.apply_rules(edges, MODEL).collect()}
     for row in edge_rows:
         n, chars, symbols, dups, repeats = brute_rules(row[1])
         r = got[(row[0], n)]
         assert (r.word_chars, r.n_symbols, r.n_dup_lines) == (chars, symbols, dups), row[0]
-        if repeats is not None:
-            assert r.n_repeat_words == repeats, row[0]
+        assert r.n_repeat_words == repeats, row[0]
         assert r.base_failed == (n < 50 or 100 * r.n_repeat_words > 50 * n)
-        assert not (r.kept and r.base_failed)
+        *measured, inside = brute_fertility(row[1] if n else "", piece.model)
+        assert (r.n_tokens, r.chars_per_token, r.fallback_share, r.token_entropy) == pytest.approx(measured, abs=1e-9), row[0]
+        assert r.kept == (inside and not r.base_failed), row[0]
+    assert {r.kept for r in got.values()} == {True, False}
     assert rules.apply_rules(no_rows, MODEL).count() == 0
 
 
