@@ -62,7 +62,7 @@ class LineRule:
 def _can_match_line_end(pattern: str) -> bool:
     """Whether some item of a pattern takes a line feed; yes if unsure."""
     try:
-        tree = re._parser.parse(to_python(pattern)[0])
+        tree = re._parser.parse(to_python(pattern, ascii_only=True)[0])  # a line end is in ASCII
     except (PatternError, re.PatternError):
         return True
 
@@ -93,7 +93,7 @@ def _can_match_line_end(pattern: str) -> bool:
 def _has_anchor(pattern: str) -> bool:
     """Whether a pattern looks at what surrounds the cursor; yes if unsure."""
     try:
-        source, sliced = to_python(pattern)
+        source, sliced = to_python(pattern, ascii_only=True)
     except PatternError:
         return True
     return sliced or r"\Z" in source or "$" in source.replace(r"\$", "").replace("[$", "[")
@@ -135,7 +135,7 @@ def line_rules(grammar: Grammar, start: str = "input") -> list[LineRule] | None:
                 return None
             flags = "(?Udiu)" if s.ignore_case else "(?Ud)"
             try:
-                out.append(LineRule(f"{flags}^" + "".join(f"({to_java(p)})" for p in parts), tuple(creates), parts[:-1] in ([p] for p in _ANY_LINE)))
+                out.append(LineRule(f"{flags}^" + "".join(f"({to_java(p, s.ignore_case)})" for p in parts), tuple(creates), parts[:-1] in ([p] for p in _ANY_LINE)))
             except PatternError:
                 return None
     return out or None
@@ -176,7 +176,7 @@ def _create(c: ast.Call, grammar: Grammar) -> _Create | None:
 
 def _filled(template: str, line: Column, rule: LineRule) -> Column:
     """A template with the captures of a line."""
-    n = re.compile(to_python(rule.pattern.partition("^")[2])[0]).groups
+    n = re.compile(to_python(rule.pattern.partition("^")[2], ascii_only=True)[0]).groups
     parts = []
     for p in _split_template(template):
         if isinstance(p, str):

@@ -40,7 +40,7 @@ def validate(source: ast.Source) -> list[Diagnostic]:
     patterns += [e for _, s in every for e in _expressions(s) if isinstance(e, ast.Pattern)]
     for p in dict.fromkeys(patterns):
         try:
-            to_python(p.value)
+            to_python(p.value, ascii_only=True)
         except PatternError as e:
             out.append(Diagnostic("error", f"invalid regex '{p.value}': {e}"))
     for g in source.grammars.values():

@@ -5,7 +5,7 @@ import pytest
 from sylvan.errors import LexError, ParseError, ValidationError
 from sylvan.plans import ast
 from sylvan.plans.analysis import flatten, resolve, validate
-from sylvan.plans.dialect import PatternError, to_java, to_python
+from sylvan.plans.dialect import PatternError, nests_repeats, to_java, to_python
 from sylvan.plans.grammar import Grammar, parse_to_json
 from sylvan.plans.lexer import tokenize
 from sylvan.plans.parser import parse
@@ -127,16 +127,90 @@ def test_json_of_a_program():
         ("[[:digit:]-]+", "1-2a", 3),
         (".+", "a\rb\n", 3),
         ("a{2,3}?b", "aab", 3),
+        (r"\pL+", "aé中1", 3),
+        (r"\p{Lu}\P{Lu}+", "Éaé1Z", 4),
+        (r"\p{Greek}+", "αβγa", 3),
+        (r"\p{^Greek}+", "abα", 2),
+        (r"\p{sc=Cyrillic}+\p{gc!=Lu}", "жз1", 3),
+        (r"[\p{Lu}\d]+", "É1a", 2),
+        (r"[^\p{L}]+", "1 é", 2),
+        ("[a-z&&[^b]]+", "acb", 2),
+        ("[a-z--[bc]]+", "adeb", 3),
+        ("[a-c~~b-d]+", "ad", 2),
+        ("[a-c~~b-d]+", "b", None),
+        ("[a[b-c]]+", "abcd", 3),
+        ("[a&&b]", "a", None),
+        ("[[:^alpha:]]+", "1-a", 2),
+        (r"[\w&&[^\d_]]+", "é1", 1),
+        (r"[\W\d]+", "1 x", 2),
+        (r"[^\S\n]+", " \t\n", 2),
+        ("(?i)[a-z&&[^b]]", "B", None),
+        ("(?i)[a-z&&[^b]]", "C", 1),
+        ("(?i)[^k]", "K", None),
+        (r"(?i)[\x{212a}]", "k", 1),
+        (r"(?x)[a b]+", "ab ", 2),
+        (r"\w+", "नमस्ते x", 6),
+        (r"\w+", "x²", 1),
+        (r"\w+", "a\u200db", 3),
+        (r"\W", "\u0301", None),
+        (r"(?:\b.)+", "नम", 1),
+        (r".\B.", "नम", 2),
+        (r"a\b.", "a\u0301", None),
+        (r"\<a\>", "a", 1),
+        (r"a\b{end} \b{start}b", "a b", 3),
+        (r"[]a]+", "]a", 2),
+        (r"[^]]+", "a]", 1),
+        (r"[a\-c-]+", "-ac", 3),
+        (r"[$^]", "$", 1),
+        (r"[\d[:alpha:]_]+\x{1F642}", "a1_🙂", 4),
     ],
 )
 def test_patterns(pattern, text, end):
+    """Both forms for Python, the short one where the text is of ASCII alone; and Java has the same sets."""
     import re
 
-    m = re.compile(to_python(pattern)[0]).match(text)
-    assert (m and m.end()) == end
+    for ascii_only in (False, True) if text.isascii() else (False,):
+        m = re.compile(to_python(pattern, ascii_only)[0]).match(text)
+        assert (m and m.end()) == end
+    assert to_java(pattern)
 
 
-@pytest.mark.parametrize("pattern", ["(?=a)", "(?<!a)", r"(a)\1", "a++", "a*+", r"\q", "(", "[", "a)", "[a&&b]", "[a[b]]", "*a", r"\pL"])
+def test_the_short_form_is_equal_on_ascii():
+    import random
+    import re
+
+    rng = random.Random(1)
+    items = ["a", "b-f", r"\d", r"\w", r"\s", r"\W", r"\S", r"\p{Lu}", r"\P{L}", "[:punct:]", "[:^digit:]", "[x-z]", "[^m]", "_", r"\n"]
+    text = "".join(map(chr, range(128)))
+    for _ in range(300):
+        body = "".join(rng.choice(items) for _ in range(rng.randint(1, 3)))
+        if rng.random() < 0.5:
+            body += rng.choice(["&&", "--", "~~"]) + rng.choice(items)
+        pattern = rng.choice(["", "(?i)"]) + "[" + rng.choice(["", "^"]) + re.sub(r"\[:", "[[:", body).replace(":]", ":]]") + "]"
+        whole, short = (re.findall(to_python(pattern, x)[0], text) for x in (False, True))
+        assert whole == short, pattern
+
+
+def test_sets_of_code_points():
+    from sylvan.plans import charsets
+
+    assert charsets.complement(charsets.complement(charsets.SPACE)) == charsets.SPACE
+    assert charsets.union(charsets.perl("w"), charsets.perl("W")) == charsets.EVERY
+    for c in "aZ9_é中²½\u0301\u200d ":
+        import regex
+
+        inside = any(lo <= ord(c) <= hi for lo, hi in charsets.perl("w"))
+        assert inside == bool(regex.fullmatch(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]", c)), c
+    with pytest.raises(ValueError, match="no such property"):
+        charsets.prop("Nonsense")
+
+
+@pytest.mark.parametrize(("pattern", "nested"), [("(a+)+b", True), ("(?:a*)*", True), ("((a|b+))*", True), ("(a+b)+", False), ("a+b*", False), ("(a{2})+", False)])
+def test_nested_repeats_are_told(pattern, nested):
+    assert nests_repeats(pattern) == nested
+
+
+@pytest.mark.parametrize("pattern", ["(?=a)", "(?<!a)", r"(a)\1", "a++", "a*+", r"\q", "(", "[", "a)", "*a", r"\p{Nonsense}", r"\p{", "[z-a]", r"[a-\d]", "[[:nonsense:]]", "[a", r"\x{110000}"])
 def test_patterns_that_the_dialect_lacks(pattern):
     with pytest.raises(PatternError):
         to_python(pattern)

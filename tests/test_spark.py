@@ -201,7 +201,7 @@ def test_lowered_grammars_agree_with_the_kernel(spark, body):
     import random
 
     rng = random.Random(len(body))
-    texts = ["".join(rng.choice(["b", "a", "1", "23", "x ", "AB", "é", "\n", "\n", "%41", "$0", ""]) for _ in range(rng.randint(0, 30))) + rng.choice(["\n", "\n", "\n", ""]) for _ in range(150)]
+    texts = ["".join(rng.choice(["b", "a", "1", "23", "x ", "AB", "é", "e\u0301", "नमस्ते", "²", "ß", "中", "\u200d", "🙂", "\xa0", "\n", "\n", "%41", "$0", ""]) for _ in range(rng.randint(0, 30))) + rng.choice(["\n", "\n", "\n", ""]) for _ in range(150)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string")
     for window in (None, 6):
         g = Grammar.compile("define nl /\\r?\\n/\ngrammar input:\n" + body, search_window=window)
