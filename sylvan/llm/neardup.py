@@ -119,8 +119,9 @@ def _first_meeting() -> Column:
     return agree.bitwiseAND(F.element_at(before, F.col("table_a") + 1)) == 0
 
 
-def _side(df: DataFrame, x: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"{c}_{x}") if c != "key" else F.col(c) for c in df.columns])
+def _side(df: DataFrame, x: str, *keys: str) -> DataFrame:
+    """The columns with ``x`` behind their names, but for the keys."""
+    return df.select(*[F.col(c).alias(c if c in (keys or ("key",)) else f"{c}_{x}") for c in df.columns])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -142,27 +143,36 @@ def rare_meetings(docs: DataFrame, percent: int) -> DataFrame:
     """(node_a, node_b): a superset of the similar pairs of different parts
     among ``docs`` (node, part, n, shingles), found by exact filters.
 
-    Two sets whose similarity reaches ``percent`` share one of the ``n - need +
-    1`` rarest shingles of each, ``need`` being what either must share with the
-    other.  A shingle's most frequent part isn't joined with itself, and sizes
-    within the bound fall into the same or neighbouring bands.
+    With each set's shingles sorted from rare to frequent, the first that two
+    similar sets share comes early in both: so early that what is behind it
+    still suffices (``need`` of either's shingles at least, and by both sizes
+    for the pair itself).  The smaller set of a pair is looked up by fewer
+    shingles than the larger one, as more than ``need`` of it must be shared.
+    A shingle's most frequent part isn't joined with itself, and sizes within
+    the bound fall into the same or neighbouring bands.
     """
     entries = docs.select("node", "part", "n", F.explode("shingles").alias("s"))
     often = entries.groupBy("s").agg(F.count("*").alias("often"), F.min("part").alias("p1"), F.max("part").alias("p2"))
-    need = F.expr(f"({percent} * n + 99) div 100")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "s"))
-    rare = entries.join(often, "s").withColumn("rank", rank).where((F.col("rank") <= F.col("n") - need + 1) & (F.col("p1") < F.col("p2")))
+    as_larger = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
+    as_smaller = F.expr(f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
+    rare = entries.join(often, "s").withColumn("rank", rank).where((F.col("rank") <= as_larger) & (F.col("p1") < F.col("p2")))
     # A step of the bands is the largest ratio of sizes that the bound allows.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) + 1e-9)) if percent < 100 else F.col("n")
-    rare = materialize(rare.select("s", "node", "part", "n", band.alias("band")), "rare")
+    rare = materialize(rare.select("s", "node", "part", "n", "rank", (F.col("rank") <= as_smaller).alias("few"), band.alias("band")), "rare")
     main = rare.groupBy("s", "part").count().groupBy("s").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-    left = rare.join(main, "s").where("part <> main").withColumn("at", F.explode(F.expr("array(band - 1, band, band + 1)")))
-    left = left.select("s", "at", "main", F.col("node").alias("node_a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"))
-    right = rare.select("s", F.col("band").alias("at"), F.col("node").alias("node_b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"))
-    once = (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
-    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    pairs = left.join(right, ["s", "at"]).where(once & sizes).select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b"))
-    out = materialize(pairs.distinct(), "meetings")
+    told = rare.join(main, "s").withColumn("minor", F.col("part") != F.col("main"))
+    larger = _side(told.withColumn("at", F.explode(F.expr("array(band - 1, band)"))).drop("band", "few", "main"), "a", "s", "at")
+    smaller = _side(told.where("few").withColumnRenamed("band", "at").drop("few", "main"), "b", "s", "at")
+    need = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
+    order = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    early = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) >= need
+    meet = (F.col("part_a") != F.col("part_b")) & order & early & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    pairs = [
+        larger.where(a).join(smaller.where(b), ["s", "at"]).where(meet).select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b"))
+        for a, b in (("minor_a", "true"), ("not minor_a", "minor_b"))
+    ]
+    out = materialize(pairs[0].unionByName(pairs[1]).distinct(), "meetings")
     discard(rare)
     return out
 
