@@ -3,15 +3,19 @@
 
 from __future__ import annotations
 
-from .functions.writers import format_name
+from typing import TextIO
+
+from .errors import GrammarError, ParsingFailed, ValidationError
+from .functions.writers import format_name, write_tree_to
 from .operators.kernel import Outcome
 from .plans.grammar import Grammar, parse_to_json
 from .sources.files import compile_file, read_file, require_utf8
 from .sources.sinks import serialize_execution, serialize_tree, write_file
 
 __all__ = [
-    "Converter", "compile", "compile_file", "compile_grammar", "compile_string", "execute", "generate", "generate_string",
-    "generate_string_to_file", "generate_to_file", "parse_and_run", "parse_to_json", "run_grammar", "run_grammar_xml", "run_grammar_yaml",
+    "Converter", "GrammarError", "ParsingFailed", "ValidationError", "compile", "compile_file", "compile_grammar", "compile_string", "execute",
+    "execute_and_serialize", "execute_tree", "generate", "generate_string", "generate_string_to_file", "generate_to_file", "parse_and_run",
+    "parse_to_json", "run_grammar", "run_grammar_xml", "run_grammar_yaml", "serialize_execution", "serialize_tree", "serialize_tree_to_writer",
 ]
 
 
@@ -86,6 +90,23 @@ def execute(syntax: str, grammar: str, text: str) -> Outcome:
     return compile_string(syntax).execute(text, grammar)
 
 
+def execute_tree(syntax: str, grammar: str, text: str) -> Outcome:
+    """A run of which only the tree and the error are recorded."""
+    return compile_string(syntax).grammar.machine().run(text, grammar)
+
+
+def execute_and_serialize(syntax: str, grammar: str, text: str, format: str = "json") -> str:
+    return serialize_tree(execute_tree(syntax, grammar, text), format)
+
+
+def serialize_tree_to_writer(run: Outcome, format: str, writer: TextIO) -> None:
+    """Write a tree to an open stream as it is serialized, never holding all
+    of its output; a run that failed is an error, and nothing is written."""
+    if run.error is not None:
+        raise ParsingFailed(run.error)
+    write_tree_to(run.tree.root, format_name(format), writer)
+
+
 def parse_and_run(syntax: str, grammar: str, text: str) -> str:
     """Compile, run, and give the whole log as JSON, the grammar's warnings among its diagnostics."""
     converter = compile_string(syntax)

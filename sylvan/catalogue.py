@@ -43,6 +43,8 @@ class Query:
     fmt: str = "json"
     preserve_case: bool = False
     window: int | None = BIG_WINDOW
+    #: Of the node table; all if None.
+    columns: tuple[str, ...] | None = None
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in self.tables}
@@ -52,9 +54,9 @@ class Query:
         docs = spark.sql(sql, **frames)
         g = Grammar.compile(self.grammar, preserve_case=self.preserve_case, search_window=self.window)
         if self.how == "nodes":
-            got = parse.nodes(docs, g, ["k"])
+            got = parse.nodes(docs, g, ["k"], columns=self.columns)
         elif self.how in ("linewise", "lowered"):
-            got = linewise.nodes(docs, g, ["k"], lower="always" if self.how == "lowered" else "auto")
+            got = linewise.nodes(docs, g, ["k"], lower="always" if self.how == "lowered" else "auto", columns=self.columns)
         elif self.how in ("actions", "captures"):
             got = getattr(parse, self.how)(docs, g, ["k"])
         else:
@@ -97,6 +99,7 @@ QUERIES: dict[str, Query] = {
         "SELECT k, count(*) AS n_lines, count(text) AS n_full FROM {n} WHERE name = 'line' GROUP BY k",
         "SELECT doc_id AS k, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS BIGINT) AS n_full FROM documents",
         how="linewise",
+        columns=('name', 'text'),
     ),
     "native_vs_kernel_linewise": Query(
         ("events",), _KV, _lines("    match num ' ' /[aeiou]\\w*/ nl:\n        out.create('vowel?id=\"$0\"', '$2')\n    match num ' ' word nl:\n        out.create('other?id=\"$0\"', '$2')\n"),
@@ -106,15 +109,7 @@ QUERIES: dict[str, Query] = {
         SELECT user_id AS k, CAST(row_number() OVER (PARTITION BY user_id ORDER BY f, i) - 1 AS BIGINT) AS ord, name, event_type AS value, event_id AS id FROM f""",
         how="lowered",
     ),
-    "linesplit_window_chunks": Query(
-        ("documents",), "SELECT doc_id AS k, replace(text, '\n', ' ') AS text FROM documents WHERE octet_length(text) = length(text) AND text <> ''",
-        "grammar input:\n    match /[^\\n]+/:\n        out.create('line', '$0')\n", _LINE_NODES,
-        """WITH d AS (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents WHERE strlen(text) = length(text) AND text <> ''),
-        c AS (SELECT doc_id, t, unnest(range(0, CAST(ceil(length(t) / 1000.0) AS BIGINT))) AS i FROM d)
-        SELECT doc_id AS k, i AS ord, substr(t, CAST(i * 1000 + 1 AS BIGINT), 1000) AS line FROM c""",
-        window=None,
-    ),
-    # The same of all documents: windows of bytes that end between characters.
+    # Windows of bytes that end between characters.
     "linesplit_window_bytes": Query(
         ("documents",), "SELECT doc_id AS k, replace(text, '\n', ' ') AS text FROM documents",
         "grammar input:\n    match /[^\\n]+/:\n        out.create('line', '$0')\n", _LINE_NODES,
@@ -184,11 +179,13 @@ grammar input:
         ("orders",), grouped("orders", "o_custkey", "o_orderkey", "concat(o_orderkey, ' ', o_orderstatus, '\n')"),
         _lines("    match num ' ' word nl:\n        out.add('all', '$2$0 ')\n"), "SELECT k, text AS value FROM {n} WHERE name = 'all'",
         "SELECT o_custkey AS k, string_agg(o_orderstatus || o_orderkey || ' ', '' ORDER BY o_orderkey) AS value FROM orders GROUP BY o_custkey",
+        columns=('name', 'text'),
     ),
     "create_vs_add_cardinality": Query(
         ("events",), _KV, _lines("    match num ' ' word nl:\n        out.create('made/$2')\n        out.add('found/$2')\n"),
         "SELECT k, count_if(path LIKE '/made/%') AS made, count_if(path LIKE '/found/%') AS found FROM {n} GROUP BY k",
         "SELECT user_id AS k, count(*) AS made, count(DISTINCT event_type) AS found FROM events GROUP BY user_id",
+        columns=('path',),
     ),
     "replace_last_value": Query(
         ("events",), _KV, _lines("    match num ' ' word nl:\n        out.replace('last', '$2')\n        out.replace('of/$2', '$0')\n"),
@@ -205,11 +202,13 @@ grammar input:
         ("orders",), _STATUS, _lines("    match 'status ' word nl ' order ' num nl:\n        out.enter('status?of=\"$1\"')\n        out.create('order', '$4')\n"),
         "SELECT k, count_if(depth = 1) AS groups, count_if(depth = 2) AS orders FROM {n} GROUP BY k",
         "SELECT o_custkey AS k, count(DISTINCT o_orderstatus) AS groups, count(*) AS orders FROM orders GROUP BY o_custkey",
+        columns=('depth',),
     ),
     "open_fresh": Query(
         ("orders",), _STATUS, _lines("    match 'status ' word nl ' order ' num nl:\n        out.open('status?of=\"$1\"')\n        out.create('order', '$4')\n"),
         "SELECT k, count_if(depth = 1) AS groups, count_if(depth = 2) AS orders FROM {n} GROUP BY k",
         "SELECT o_custkey AS k, count(*) AS groups, count(*) AS orders FROM orders GROUP BY o_custkey",
+        columns=('depth',),
     ),
     "explicit_leave": Query(
         ("orders",), _STATUS,
@@ -303,21 +302,25 @@ grammar input:
         out.create('never')
 """,
         "SELECT k, cast(text as bigint) AS orderkey FROM {n} WHERE depth = 1", "SELECT o_custkey AS k, o_orderkey AS orderkey FROM orders WHERE o_orderstatus = 'F'",
+        columns=('depth', 'text'),
     ),
     "skip_comments": Query(
         ("events",), grouped("events", "user_id", "event_id", "if(event_id % 2 = 0, concat('# ', event_type, '\n'), concat(event_id, '\n'))"),
         "grammar input:\n    skip /#[^\\r\\n]*[\\r\\n]+/\n    match /\\d+/ /\\n/:\n        out.create('id', '$0')\n",
         "SELECT k, cast(text as bigint) AS id FROM {n} WHERE name = 'id'", "SELECT user_id AS k, event_id AS id FROM events WHERE event_id % 2 <> 0",
+        columns=('name', 'text'),
     ),
     "skip_whitespace": Query(
         ("events",), grouped("events", "user_id", "event_id", "concat('  \n', event_id, ' \t')"), "grammar input:\n    skip /\\s+/\n    match /\\S+/:\n        out.create('id', '$0')\n",
         "SELECT k, cast(text as bigint) AS id FROM {n} WHERE name = 'id'", "SELECT user_id AS k, event_id AS id FROM events",
+        columns=('name', 'text'),
     ),
     "alternation_first_match": Query(
         ("part",), _PARTS, _lines("    match num ' ' 'STANDARD' rest nl\n        | num ' ' 'S' rest nl:\n        out.create('s', '$2')\n    match num ' ' rest nl:\n        out.create('other', '$0')\n"),
         "SELECT k, name, text AS value FROM {n} WHERE depth = 1",
         """SELECT p_brand AS k, CASE WHEN p_type LIKE 'S%' THEN 's' ELSE 'other' END AS name,
         CASE WHEN p_type LIKE 'STANDARD%' THEN 'STANDARD' WHEN p_type LIKE 'S%' THEN 'S' ELSE CAST(p_partkey AS VARCHAR) END AS value FROM part""",
+        columns=('name', 'depth', 'text'),
     ),
     "imatch_segment": Query(
         ("customer",), grouped("customer", "c_nationkey", "c_custkey", "concat(c_custkey, ' ', c_mktsegment, '\n')"),
@@ -362,8 +365,8 @@ grammar input(base):
         "SELECT p_brand AS k, '$0 is ' || p_partkey || ', |$' AS value FROM part",
     ),
     "percent_roundtrip": Query(
-        ("pages",), "SELECT page_id AS k, concat(url, '\n') AS text FROM pages WHERE url NOT LIKE '%\n%'", _lines("    match rest nl:\n        out.create('u', '<$0> %41')\n"), "SELECT k, text AS value FROM {n} WHERE name = 'u'",
-        "SELECT page_id AS k, '<' || url || '> A' AS value FROM pages WHERE url NOT LIKE '%' || chr(10) || '%'",
+        ("pages",), "SELECT page_id AS k, concat('<', coalesce(url, '')) AS text FROM pages ", "grammar input:\n    match '<' /(?s:.*)/:\n        out.create('u', '<$1> %41')\n", "SELECT k, text AS value FROM {n} WHERE name = 'u'",
+        "SELECT page_id AS k, '<' || coalesce(url, '') || '> A' AS value FROM pages",
     ),
     "attr_percent_kept": Query(
         ("part",), grouped("part", "p_brand", "p_partkey", "concat(p_partkey, '/', p_size, '\n')"), _lines("    match /\\d+\\/\\d+/ nl:\n        out.create('p')\n        out.add_attribute('p', 'of', '$0')\n"),
@@ -391,6 +394,7 @@ grammar input(base):
     "trigger_before": Query(
         ("events",), _KV, _lines("    match num ' ' word nl:\n        out.create('e', '$0')\n        out.enqueue_before(/./, 'b', '\\$0 ')\n"), "SELECT k, text AS value FROM {n} WHERE name = 'b'",
         f"SELECT user_id AS k, string_agg(event_id || ' ', '' ORDER BY event_id) AS value FROM ({_EVENTS}) WHERE i > 0 GROUP BY user_id",
+        columns=('name', 'text'),
     ),
     "trigger_after": Query(
         ("events",), _KV, _lines("    match num ' ' word nl:\n        out.enqueue_after(/./, 'a?id=\"$0\"', '$2')\n"), "SELECT k, cast(attrs[0].value as bigint) AS id, text AS value FROM {n} WHERE name = 'a'",
@@ -509,18 +513,21 @@ grammar input(base):
         how="output error", fmt="none",
     ),
     "xml_escape": Query(
-        ("pages",), "SELECT page_id AS k, html AS text FROM pages WHERE html <> ''", "grammar input:\n    match /(?s).+/:\n        out.create('h', '$0')\n", "SELECT k, output FROM {n}",
-        "SELECT page_id AS k, '<xml>' || chr(10) || '  <h>' || replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(13), '&#13;') || '</h>' || chr(10) || '</xml>' || chr(10) AS output FROM pages WHERE html <> ''",
+        ("pages",), "SELECT page_id AS k, concat('.', coalesce(html, '')) AS text FROM pages ", "grammar input:\n    match /(?s).+/:\n        out.create('h', '$0')\n", "SELECT k, output FROM {n}",
+        "SELECT page_id AS k, '<xml>' || chr(10) || '  <h>' || replace(replace(replace(replace('.' || coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(13), '&#13;') || '</h>' || chr(10) || '</xml>' || chr(10) AS output FROM pages",
         how="output", fmt="xml",
     ),
     "json_escape": Query(
-        ("pages",), "SELECT page_id AS k, html AS text FROM pages WHERE html <> ''", "grammar input:\n    match /(?s).+/:\n        out.create('h', '$0')\n", "SELECT k, output FROM {n}",
-        """SELECT page_id AS k, '{' || chr(10) || '    "h": {' || chr(10) || '        "#text": "' || replace(replace(replace(replace(replace(html, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t'), chr(13), '\\r') || '"' || chr(10) || '    }' || chr(10) || '}' AS output FROM pages WHERE html <> ''""",
+        ("pages",), "SELECT page_id AS k, concat('.', coalesce(html, '')) AS text FROM pages ", "grammar input:\n    match /(?s).+/:\n        out.create('h', '$0')\n", "SELECT k, output FROM {n}",
+        """SELECT page_id AS k, '{' || chr(10) || '    "h": {' || chr(10) || '        "#text": "' || replace(replace(replace(replace(replace('.' || coalesce(html, ''), '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t'), chr(13), '\\r') || '"' || chr(10) || '    }' || chr(10) || '}' AS output FROM pages""",
         how="output",
     ),
     "yaml_quote": Query(
-        ("pages",), "SELECT page_id AS k, url AS text FROM pages WHERE url NOT LIKE '%\n%' AND url <> ''", "grammar input:\n    match /.+/:\n        out.create('u', '$0')\n        out.create('w', 'it''$0')\n".replace("it''", "\\'"), "SELECT k, output FROM {n}",
-        """SELECT page_id AS k, 'u:' || chr(10) || '  ''#text'': ''' || url || '''' || chr(10) || 'w:' || chr(10) || '  ''#text'': ''\\''''' || url || '''' || chr(10) AS output FROM pages WHERE url NOT LIKE '%' || chr(10) || '%' AND url <> ''""",
+        ("pages",), "SELECT page_id AS k, concat('.', coalesce(url, '')) AS text FROM pages ", "grammar input:\n    match /(?s).+/:\n        out.create('u', '$0')\n        out.create('w', '\\'$0')\n", "SELECT k, output FROM {n}",
+        r"""WITH p AS (SELECT page_id, '.' || coalesce(url, '') AS u, '\''.' || coalesce(url, '') AS w FROM pages),
+        q AS (SELECT page_id, unnest([0, 1]) AS o, unnest(['u', 'w']) AS n, unnest([u, w]) AS v FROM p),
+        y AS (SELECT *, CASE WHEN regexp_matches(v, '[\x00-\x1f]') THEN '"' || replace(replace(replace(replace(replace(v, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"' ELSE '''' || replace(v, '''', '''''') || '''' END AS s FROM q)
+        SELECT page_id AS k, string_agg(n || ':' || chr(10) || '  ''#text'': ' || s || chr(10), '' ORDER BY o) AS output FROM y GROUP BY page_id""",
         how="output", fmt="yaml",
     ),
     "children_grouping_order": Query(
@@ -540,22 +547,24 @@ grammar input(base):
     ),
     # --- texts as they are ---
     "html_titles": Query(
-        ("pages",), "SELECT page_id AS k, html AS text FROM pages WHERE html LIKE '%<title>%</title>%'", "grammar input:\n    skip /(?s:[^<]+)/\n    match '<title>' /[^<]*/ '</title>':\n        out.create('title', '$1')\n        do.fail('found')\n    skip '<'\n",
-        "SELECT k, coalesce(text, '') AS title FROM {n} WHERE name = 'title'", "SELECT page_id AS k, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages WHERE regexp_matches(html, '<title>([^<]*)</title>')",
+        ("pages",), "SELECT page_id AS k, coalesce(html, '') AS text FROM pages ", "grammar input:\n    skip /(?s:[^<]+)/\n    match '<title>' /[^<]*/ '</title>':\n        out.create('title', '$1')\n    skip '<'\n",
+        "SELECT k, ord, coalesce(text, '') AS title FROM {n} WHERE name = 'title'",
+        "SELECT page_id AS k, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS ord, unnest(t) AS title FROM (SELECT page_id, regexp_extract_all(html, '<title>([^<]*)</title>', 1) AS t FROM pages)",
     ),
     "html_links": Query(
-        ("pages",), "SELECT page_id AS k, html AS text FROM pages WHERE html LIKE '%<a href=%'", "grammar input:\n    skip /[^<]+/\n    match '<a href=\"' /[^\"]*/ '\"':\n        out.create('a', '$1')\n    skip '<'\n",
-        "SELECT k, text AS href, count(*) AS n FROM {n} WHERE name = 'a' AND text IS NOT NULL GROUP BY k, text",
-        "SELECT k, href, count(*) AS n FROM (SELECT page_id AS k, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) WHERE href <> '' GROUP BY k, href",
+        ("pages",), "SELECT page_id AS k, coalesce(html, '') AS text FROM pages ", "grammar input:\n    skip /[^<]+/\n    match '<a href=\"' /[^\"]*/ '\"':\n        out.create('a', '$1')\n    skip '<'\n",
+        "SELECT k, coalesce(text, '') AS href, count(*) AS n FROM {n} WHERE name = 'a' GROUP BY 1, 2",
+        "SELECT k, href, count(*) AS n FROM (SELECT page_id AS k, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY k, href",
+        columns=("name", "text"),
     ),
     "event_props": Query(
         ("events",), grouped("events", "user_id", "event_id", "concat(event_id, ' ', props, '\n')"), _lines("    match num ' {\"k\": ' num '}' nl:\n        out.create('p?id=\"$0\"', '$2')\n"), "SELECT k, cast(attrs[0].value as bigint) AS id, cast(text as bigint) AS value FROM {n} WHERE name = 'p'",
         "SELECT user_id AS k, event_id AS id, CAST(regexp_extract(props, '\\{\"k\": (\\d+)\\}', 1) AS BIGINT) AS value FROM events",
     ),
     "transcript_turns": Query(
-        ("conversations",), grouped("conversations", "conv_id", "turn", "concat(role, ': ', replace(text, '\n', ' '), '\n')", "role IS NOT NULL AND text IS NOT NULL"),
-        "grammar input:\n    match /\\w+/ ': ' /[^\\n]*/ /\\n/:\n        out.open('turn')\n        out.add_attribute('.', 'role', '$0')\n        out.add('.', '$2')\n", "SELECT k, attrs[0].value AS role, coalesce(text, '') AS text, count(*) AS n FROM {n} WHERE name = 'turn' GROUP BY ALL",
-        "SELECT conv_id AS k, role, replace(text, chr(10), ' ') AS text, count(*) AS n FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY ALL",
+        ("conversations",), grouped("conversations", "conv_id", "turn", "concat(coalesce(role, '?'), ': ', replace(coalesce(text, ''), '\n', ' '), '\n')"),
+        "grammar input:\n    match /[\\w?]+/ ': ' /[^\\n]*/ /\\n/:\n        out.open('turn')\n        out.add_attribute('.', 'role', '$0')\n        out.add('.', '$2')\n", "SELECT k, attrs[0].value AS role, coalesce(text, '') AS text, count(*) AS n FROM {n} WHERE name = 'turn' GROUP BY ALL",
+        "SELECT conv_id AS k, CASE WHEN role IS NULL THEN '%3F' ELSE role END AS role, replace(coalesce(text, ''), chr(10), ' ') AS text, count(*) AS n FROM conversations GROUP BY ALL",
     ),
 }
 
@@ -563,15 +572,26 @@ grammar input(base):
 _EVENT = _lines("    match num ' ' word nl:\n        out.create('e?id=\"$0\"', '$2')\n")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sylvan-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share: that of
+    ``spark.checkpoint.dir``, which only a single machine can do without.  It
+    goes when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="sylvan-")
+    path = f"{base.rstrip('/')}/sylvan-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return path
 
 
 def streaming_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parse a stream of the events and read back what it appended."""
-    base = _scratch(spark)
+    base = scratch(spark)
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     table.selectExpr("event_id", "concat(event_id, ' ', event_type, '\n') AS value").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("event_id bigint, value string").parquet(f"{base}/in")
@@ -582,19 +602,19 @@ def streaming_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a file of events for each type, read the files whole, and parse them."""
-    base = _scratch(spark)
+    base = scratch(spark)
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    table.selectExpr("event_type", "concat(event_id, ' ', event_type) AS line").write.partitionBy("event_type").text(base)
-    docs = read_texts(spark, f"{base}/event_type=*/*.txt")
+    table.selectExpr("event_type", "concat(event_id, ' ', event_type) AS line").write.partitionBy("event_type").text(f"{base}/files")
+    docs = read_texts(spark, f"{base}/files/event_type=*/*.txt")
     return parse.nodes(docs, Grammar.compile(_EVENT), ["file"]).where("name = 'e'").selectExpr("cast(attrs[0].value as bigint) AS id", "text AS value")
 
 
 def write_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write outputs as text files, and read their lines."""
-    base = _scratch(spark)
+    base = scratch(spark)
     table = spark.read.parquet(f"{sf_dir}/region.parquet")
-    sinks.write_outputs(table.selectExpr("concat(r_name, '\n') AS text"), Grammar.compile(_LINES), base, "yaml")
-    return spark.read.text(base).where("value <> ''").selectExpr("value AS line")
+    sinks.write_outputs(table.selectExpr("concat(r_name, '\n') AS text"), Grammar.compile(_LINES), f"{base}/out", "yaml")
+    return spark.read.text(f"{base}/out").where("value <> ''").selectExpr("value AS line")
 
 
 def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -614,11 +634,16 @@ _FUNCTIONS = {f.__name__: f for f in (streaming_parse, whole_files, write_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**QUERIES, **_FUNCTIONS}
+    from . import catalogue_corners, catalogue_language
+
+    return {**QUERIES, **catalogue_corners.QUERIES, **_FUNCTIONS, **{name: f for name, (f, _) in catalogue_language.QUERIES.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.oracle for name, q in QUERIES.items()} | {
+    from . import catalogue_corners, catalogue_language
+
+    more = {name: query for name, (_, query) in catalogue_language.QUERIES.items()}
+    return {name: q.oracle for name, q in (QUERIES | catalogue_corners.QUERIES).items()} | more | {
         "streaming_parse": "SELECT event_id, CAST(event_id AS VARCHAR) AS id, event_type AS value FROM events",
         "whole_files": "SELECT event_id AS id, event_type AS value FROM events",
         "write_outputs": "SELECT unnest(['line:', '  ''#text'': ' || r_name]) AS line FROM region",

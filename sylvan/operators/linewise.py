@@ -25,7 +25,7 @@ from ..plans.analysis import flatten, resolve
 from ..plans.dialect import PatternError, to_java, to_python
 from ..plans.grammar import Grammar
 from .kernel import Machine, _split_template
-from .parse import NODES
+from .parse import NODES, node_columns
 from .parse import nodes as kernel_nodes
 from .tree import parse_path
 
@@ -186,7 +186,7 @@ def _filled(template: str, line: Column, rule: LineRule) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.lit("")
 
 
-def nodes(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str = "text", start: str = "input", lower: str = "auto") -> DataFrame:
+def nodes(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str = "text", start: str = "input", lower: str = "auto", columns: tuple[str, ...] | None = None) -> DataFrame:
     """The node table of :func:`sylvan.operators.parse.nodes`, with Spark's own
     expressions for the documents of a linewise grammar where they can be.
 
@@ -204,7 +204,7 @@ def nodes(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str = "tex
         raise ValueError(f"unknown way of lowering: {lower!r}")
     rules = line_rules(grammar, start) if lower != "never" else None
     if rules is None or (lower == "auto" and not (rules[0].any_line and len(rules[0].creates) == 1)):
-        return kernel_nodes(df, grammar, keys, text_col, start)
+        return kernel_nodes(df, grammar, keys, text_col, start, columns=columns)
     if clash := {k.lower() for k in keys} & set(StructType.fromDDL(NODES).fieldNames()):
         raise ValueError(f"keys can't be named like columns of the result: {sorted(clash)}")
     text = F.col("__text")
@@ -229,7 +229,7 @@ def nodes(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str = "tex
     if not simple:
         flagged = flagged.withColumn("__rules", F.transform("__lines", classify))
     native = F.col("__lines").isNotNull() & (F.lit(True) if rules[-1].any_line else ~F.array_contains("__rules", -1))
-    general = kernel_nodes(flagged.where(F.col("__text").isNotNull() & ~native), grammar, keys, "__text", start)
+    general = kernel_nodes(flagged.where(F.col("__text").isNotNull() & ~native), grammar, keys, "__text", start, columns=columns)
 
     flat = [(r, c) for r in rules for c in r.creates]  # each create has its place in this list
     names = list(dict.fromkeys(c.name for _, c in flat))
@@ -285,4 +285,4 @@ def nodes(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str = "tex
         chosen(lambda r, c: F.nullif(_filled(c.text, line, r), F.lit("")) if c.text is not None else F.lit(None).cast("string"), F.lit(None).cast("string")).alias("text"),
         chosen(lambda r, c: F.array(*[F.struct(F.lit(k).alias("key"), _filled(v, line, r).alias("value")) for k, v in c.attrs]) if c.attrs else no_attrs, no_attrs).alias("attrs"),
     )
-    return made.unionByName(general)
+    return made.select(*[f"`{c}`" for c in (*keys, *node_columns(columns))]).unionByName(general)

@@ -155,6 +155,17 @@ def _rows_of(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str, st
 
 
 NODES = "node_id bigint, parent_id bigint, depth bigint, ord bigint, name string, path string, text string, attrs array<struct<key:string,value:string>>"
+#: Each column of a node row: its Arrow type, and its value from (id, parent, depth, place, node, path).
+_NODE_COLUMNS = {
+    "node_id": (pa.int64(), lambda x: x[0]),
+    "parent_id": (pa.int64(), lambda x: x[1]),
+    "depth": (pa.int64(), lambda x: x[2]),
+    "ord": (pa.int64(), lambda x: x[3]),
+    "name": (pa.string(), lambda x: x[4].name),
+    "path": (pa.string(), lambda x: x[5]),
+    "text": (pa.string(), lambda x: x[4].text or None),
+    "attrs": (_ATTRS, lambda x: [{"key": a, "value": b} for a, b in x[4].all_attrs()]),
+}
 
 
 def _node_rows(r: Outcome):
@@ -162,16 +173,39 @@ def _node_rows(r: Outcome):
         yield node_id, parent, depth, place, node.name, path, node.text or None, [{"key": a, "value": b} for a, b in node.all_attrs()]
 
 
-def nodes(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str = "text", start: str = "input", mode: str = "PERMISSIVE") -> DataFrame:
-    """One row per node of each document's tree: ``keys``, then :data:`NODES`.
+def node_columns(columns: tuple[str, ...] | None) -> tuple[str, ...]:
+    """The columns of :data:`NODES` that are wanted; all by default."""
+    if columns is None:
+        return tuple(_NODE_COLUMNS)
+    if odd := [c for c in columns if c not in _NODE_COLUMNS]:
+        raise ValueError(f"no such columns: {odd}")
+    return tuple(dict.fromkeys(columns))
+
+
+def nodes(
+    df: DataFrame, grammar: Grammar, keys: list[str], text_col: str = "text", start: str = "input", mode: str = "PERMISSIVE", columns: tuple[str, ...] | None = None
+) -> DataFrame:
+    """One row per node of each document's tree: ``keys``, then :data:`NODES`
+    or those of its columns that are wanted, as no others are made then.
 
     Ids go breadth first from the root, 0; ``ord`` is the place among the
     siblings, those of one name being together; ``path`` joins the names from
     the root down.  In PERMISSIVE mode a document with an error gives the nodes
     that were built until then.  A null text gives no rows.
     """
-    kinds = [pa.int64()] * 4 + [pa.string()] * 3 + [_ATTRS]
-    return _rows_of(df, grammar, keys, text_col, start, mode, False, NODES, kinds, _node_rows)
+    wanted = node_columns(columns)
+    if wanted == tuple(_NODE_COLUMNS):
+        ddl, each = NODES, _node_rows
+    else:
+        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (StructType.fromDDL(NODES)[c] for c in wanted))
+        values = [_NODE_COLUMNS[c][1] for c in wanted]
+        paths = "path" in wanted
+
+        def each(r: Outcome):
+            for x in r.tree.breadth_first(paths):
+                yield tuple(f(x) for f in values)
+
+    return _rows_of(df, grammar, keys, text_col, start, mode, False, ddl, [_NODE_COLUMNS[c][0] for c in wanted], each)
 
 
 def actions(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str = "text", start: str = "input", mode: str = "PERMISSIVE") -> DataFrame:
