@@ -18,15 +18,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, map_texts, materialize, mix
+from .common import byte_slices, discard, map_texts, materialize, mix, small_side
 
 #: Labelled texts that the likelihoods are learnt from, at most, unless there
-#: are more languages: each has a text at least.  The likelihoods take 256 kB
-#: for each language.
+#: are more languages: each has a text at least, and all have as many where
+#: they can.  The likelihoods take 256 kB for each language.
 SAMPLE = 2000
 BUCKETS = 1 << 16
 #: Trigrams overlap and repeat: a text counts as at most so many independent ones.
@@ -94,18 +94,27 @@ class TextModel:
 
 
 def learn_texts(documents: DataFrame, n: int = SAMPLE, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> TextModel:
-    """Learn from at most ``n`` labelled texts, chosen by hash of their ids,
-    and from one more of each language that none of them is in."""
-    labelled = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang")).where("id is not null and lang is not null")
-    with_text = documents.where(F.length(F.trim(f"`{text_col}`")) > 0).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang")).where("id is not null and lang is not null")
-    first = with_text.groupBy("lang").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("m")).select("m.id", "lang")
-    most = labelled.orderBy(F.xxhash64("id"), "id").limit(n)
-    # Each language's first text goes in only where the sample has none of it.
-    rare = first.join(most.select("lang").distinct(), "lang", "left_anti").select("id", "lang")
-    chosen = most.dropDuplicates(["id"]).unionByName(rare)
-    texts = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null").join(F.broadcast(chosen), "id")  # chosen has at most n rows, and one for each further language
+    """Learn from at most ``n`` labelled texts, or as many as there are
+    languages, if that is more: of each language the same number, chosen by
+    hash of their ids, or all that it has.
+
+    Of an id with several languages the first by name counts, and of one with
+    several texts the first by its trigrams.
+    """
+    columns = F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang")
+    labelled = documents.where(F.length(F.trim(f"`{text_col}`")) > 0).select(*columns).where("id is not null and lang is not null")
+    labelled = labelled.withColumn("h", F.xxhash64("id"))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"), F.min(F.struct("h", "id")).alias("first"))
+    sizes = materialize(sizes, "languages")  # one row for each language
+    quota = max(1, n // max(1, sizes.count()))
+    # About twice the quota passes by hash, so that no language's rows all meet in one task to be ranked.
+    passed = labelled.join(small_side(sizes), "lang").where((F.pmod("h", F.lit(1 << 30)) < (1 << 30) * 2.0 * quota / F.col("size")) | (F.col("id") == F.col("first.id")))
+    ranked = passed.select("id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")).alias("rank"))
+    chosen = ranked.where(F.col("rank") <= quota).groupBy("id").agg(F.min("lang").alias("lang"))
+    texts = documents.select(columns[0], F.col(f"`{text_col}`").alias("text")).where("text is not null").join(F.broadcast(chosen), "id")  # at most n rows, or one for each language
     count = lambda texts: [pa.array([packed_trigrams(t) for t in texts], pa.binary())]
-    rows = map_texts(texts, "text", ["id", "lang"], "trigrams binary", count).dropDuplicates(["id"]).collect()  # at most 400 kB each
+    rows = map_texts(texts, "text", ["id", "lang"], "trigrams binary", count).groupBy("id").agg(F.min("lang").alias("lang"), F.min("trigrams").alias("trigrams")).collect()  # at most 400 kB each
+    discard(sizes)
     rows.sort(key=lambda r: r.id)
     return TextModel([bytes(r.trigrams) for r in rows], [r.lang for r in rows])
 

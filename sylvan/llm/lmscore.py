@@ -36,7 +36,7 @@ from .packing import ByteBpe
 
 #: Tokens of a block of documents, unless one document alone is longer; also
 #: the pairs that a task adds up or scores at once.
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 3 << 20
 #: How much the unigram weighs against the counts of a context.
 PSEUDO = 5.0
 #: Keys from here on are pairs, those below are single tokens.
@@ -75,19 +75,29 @@ def token_blocks(df: DataFrame, vocabulary: int) -> DataFrame:
     return df.mapInArrow(assign, schema)
 
 
-def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts (rows of an array)."""
+def merged(keys: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts, a row for each array."""
     out, at = np.unique(keys, return_inverse=True)
-    return out, np.stack([np.bincount(at, weights=c, minlength=len(out)) for c in counts]).astype(np.int64)
+    sums = np.empty((len(counts), len(out)), dtype=np.int64)
+    for row, c in zip(sums, counts, strict=True):
+        row[:] = np.bincount(at, weights=c, minlength=len(out))
+    return out, sums
 
 
 def pairs_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of a text, and how often it has each."""
     parts = [np.unique(pair_keys(ids[i : i + BLOCK_TOKENS + 1]), return_counts=True) for i in range(0, max(1, len(ids) - 1), BLOCK_TOKENS)]
-    if len(parts) == 1:
-        return parts[0]
-    keys, n = merged(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])[None])
-    return keys, n[0]
+    keys, n = parts[0]
+    if len(parts) > 1:
+        keys, sums = merged(np.concatenate([k for k, _ in parts]), [np.concatenate([n for _, n in parts])])
+        n = sums[0]
+    return keys, n.astype(np.int32)
+
+
+def _of_block(pairs: list[tuple[np.ndarray, np.ndarray]], is_target: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of several texts, and how often the target's and all of them have each."""
+    n = np.concatenate([n for _, n in pairs])
+    return merged(np.concatenate([k for k, _ in pairs]), [n * np.repeat(is_target, [len(k) for k, _ in pairs]), n])
 
 
 def block_counts(blocks: DataFrame, vocabulary: int) -> DataFrame:
@@ -100,14 +110,9 @@ def block_counts(blocks: DataFrame, vocabulary: int) -> DataFrame:
             part = [x[i : i + 100_000] for x in (keys, *counts)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), block, dtype=np.int64)), *map(pa.array, part)], names=["block", "key", "target", "every"])
 
-    def summed(block: int, held: list[tuple[np.ndarray, np.ndarray, bool]]) -> Iterator[pa.RecordBatch]:
-        n = np.concatenate([n for _, n, _ in held])
-        of = np.repeat([good for _, _, good in held], [len(k) for k, _, _ in held])
-        yield from rows(block, *merged(np.concatenate([k for k, _, _ in held]), np.stack([n * of, n])))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single = np.zeros((2, vocabulary), dtype=np.int64)
-        now, held, size = -1, [], 0
+        now, held, good, size = -1, [], [], 0
         for b in batches:
             for block, tokens, is_target in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 ids = np.frombuffer(tokens.as_buffer(), dtype=width)
@@ -116,13 +121,14 @@ def block_counts(blocks: DataFrame, vocabulary: int) -> DataFrame:
                     np.add.at(single[0], ids, 1)
                 keys, n = pairs_of(ids)
                 if held and (block != now or size + len(keys) > BLOCK_TOKENS):
-                    yield from summed(now, held)
-                    held, size = [], 0
+                    yield from rows(now, *_of_block(held, good))
+                    held, good, size = [], [], 0
                 now = block
-                held.append((keys, n, is_target))
+                held.append((keys, n))
+                good.append(is_target)
                 size += len(keys)
         if size:
-            yield from summed(now, held)
+            yield from rows(now, *_of_block(held, good))
         used = np.flatnonzero(single[1])
         yield from rows(-1, used, single[:, used])
 
@@ -210,8 +216,7 @@ def score_language(
         texts = [np.frombuffer(t.as_buffer(), dtype=width) for t in docs.column("tokens")]
         is_target = docs.column("target").to_pylist()
         own = [pairs_of(ids) for ids in texts]
-        n = np.concatenate([n for _, n in own])
-        keys, pairs = merged(np.concatenate([k for k, _ in own]), np.stack([n * np.repeat(is_target, [len(k) for k, _ in own]), n]))
+        keys, pairs = _of_block(own, is_target)
         if outside.num_rows:
             # A block may have several rows for a pair, each the whole without a part of the block: k of them are k wholes without the block's own.
             at = np.searchsorted(keys, outside.column("key").to_numpy())

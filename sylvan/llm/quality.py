@@ -7,8 +7,10 @@ space.  The sample's vectors are broadcast; every document takes the exact
 cosine with all of them, in blocks, and its nearest neighbours vote with their
 similarities as weights.
 
-Terms are trigrams over 16 classes of bytes and counts of repeated words:
-they tell how a text is written, in any language.
+Terms are of four groups: the words of a text and its pairs of neighbouring
+words, hashed, which tell what it says; trigrams over 16 classes of bytes, which
+tell how it is written; and counts of repeats.  Each group is scaled so that it
+has the same share in the sample's vectors.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_texts
+from .common import fresh, map_texts, mix, word_hashes
 
 #: Labelled texts to learn from, at most; with 48 numbers each they are under 1 MB.
 SAMPLE = 3000
@@ -49,10 +51,12 @@ def _classes() -> np.ndarray:
 
 _CLASS = _classes()
 _N = 16**3
-#: After the trigrams: words equal to the one before, words seen within the last 16, lines seen before.
-TERMS = _N + 3
-#: There are thousands of trigrams, and three of these.
-REPEAT_WEIGHT = 4
+#: Places that words, and pairs of words, are hashed to.
+WORDS = 1 << 12
+#: Where each group of terms begins: trigrams, repeats (words equal to the one
+#: before, words seen within the last 16, lines seen before), words, pairs.
+GROUPS = (0, _N, _N + 3, _N + 3 + WORDS, _N + 3 + 2 * WORDS)
+TERMS = GROUPS[-1]
 
 
 def term_counts(texts: list[bytes | None]) -> np.ndarray:
@@ -75,7 +79,8 @@ def term_counts(texts: list[bytes | None]) -> np.ndarray:
             lines = [x for x in t.split(b"\n") if x.strip()]
             out[i, _N + 2] = len(lines) - len(set(lines))
     if words:
-        ids = np.asarray(pa.array(words, type=pa.binary()).dictionary_encode().indices)
+        coded = pa.array(words, type=pa.binary()).dictionary_encode()
+        ids = np.asarray(coded.indices)
         doc = np.repeat(np.arange(len(texts)), n)
         near = np.zeros(len(ids), dtype=bool)
         for k in range(1, 17):
@@ -84,6 +89,12 @@ def term_counts(texts: list[bytes | None]) -> np.ndarray:
             if k == 1:
                 out[:, _N] = np.bincount(doc[1:][same], minlength=len(texts))
         out[:, _N + 1] = np.bincount(doc[near], minlength=len(texts))
+        h = word_hashes(coded.dictionary.to_pylist())[ids]
+        pair = mix(h[:-1] * np.uint64(3) + h[1:])
+        inside = doc[:-1] == doc[1:]
+        for at, of, g in ((doc, h, 2), (doc[:-1][inside], pair[inside], 3)):
+            places = at * WORDS + (of >> np.uint64(40)).astype(np.int64) % WORDS
+            out[:, GROUPS[g] : GROUPS[g + 1]] = np.bincount(places, minlength=len(texts) * WORDS).reshape(-1, WORDS)
     return out
 
 
@@ -141,8 +152,13 @@ def _parts(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[list[byte
 
 def _scaled(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Square roots of the terms' shares, which a text's length doesn't change, weighted."""
-    total = counts[:, :_N].sum(axis=1, keepdims=True)
-    return np.sqrt(counts / np.maximum(total, 1)) * weights
+    out = np.empty_like(counts)
+    for g in range(4):
+        of = 0 if g < 2 else g  # repeats are shares of the bytes
+        total = counts[:, GROUPS[of] : GROUPS[of + 1]].sum(axis=1, keepdims=True)
+        group = slice(GROUPS[g], GROUPS[g + 1])
+        np.divide(counts[:, group], np.maximum(total, 1), out=out[:, group])
+    return np.sqrt(out, out=out) * weights
 
 
 def packed_terms(texts: list[bytes | None]) -> list[bytes]:
@@ -166,8 +182,12 @@ def fit_terms(terms: list[bytes], labels: list[int], dimensions: int = DIMENSION
         n = len(t) // 6
         row[np.frombuffer(t, dtype="<u2", count=n)] = np.frombuffer(t, dtype="<f4", offset=2 * n)
     weights = (1 + np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1))).astype(np.float32)
-    weights[_N:] *= REPEAT_WEIGHT
     x *= weights
+    for begin, end in zip(GROUPS, GROUPS[1:], strict=False):
+        norm = float(np.sqrt((x[:, begin:end] ** 2).sum() / max(1, len(x))))
+        if norm > 0:
+            weights[begin:end] /= norm
+            x[:, begin:end] /= norm
     rng = np.random.default_rng(seed)
     q = rng.standard_normal((TERMS, min(dimensions + 8, TERMS))).astype(np.float32)
     for _ in range(4):
@@ -186,7 +206,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def labelled_sample(df: DataFrame, labels: DataFrame, label_col: str = "quality", n: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> tuple[list[bytes], list[int]]:
     """The terms and labels of at most ``n`` texts that aren't held out, chosen
     by hash of their ids.  The ids are chosen first, so that only a sample's
-    texts are read further; and only their terms, at most 25 kB each, reach the
+    texts are read further; and only their terms, at most 75 kB each, reach the
     driver, however long the texts are."""
     of = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where("id is not null and label is not null").where(~held_out("id"))
     chosen = of.groupBy("id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(n)

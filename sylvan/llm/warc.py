@@ -17,12 +17,14 @@ import hashlib
 import os
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_side
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 8 << 20
@@ -130,12 +132,20 @@ def read_record(content: bytes, frame: int, start: int, length: int) -> bytes:
     return zstandard.ZstdDecompressor().decompress(content[at : at + packed], max_output_size=raw)[start : start + length]
 
 
-def _record_id(page_id) -> str:
-    return "urn:page:" + ("null" if page_id is None else str(page_id))
+def _record_id(page_id, copy: str = "") -> str:
+    """The name of a page's record; ``copy`` tells rows of one id apart."""
+    own = "urn:null-page" if page_id is None else "urn:page:" + quote(str(page_id), safe="")
+    return f"{own}#{copy}" if copy else own
 
 
-def mark_revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """(page id, digest, refers_to) of the rows that revisit another page.
+def page_of(record_id: Column) -> Column:
+    """The page id, as a string, of a record's name; null for that of a null id."""
+    return F.when(record_id.startswith("urn:page:"), F.url_decode(F.regexp_extract(record_id, "^urn:page:([^#]*)", 1)))
+
+
+def mark_rows(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
+    """(page, digest, refers_to, again) of the rows that revisit another page,
+    or whose id is that of several rows.
 
     Of the rows with equal payloads of at least ``least_bytes`` bytes those
     with the smallest id are responses (null ids come last); the digests that
@@ -143,20 +153,28 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
     """
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     seen = pages.select(F.col(f"`{id_col}`").alias("page"), F.sha1(payload).alias("digest"), F.length(payload).alias("bytes"))
-    seen = seen.where(F.col("bytes") >= least_bytes)
-    first = seen.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    return seen.join(first, "digest").where("not (page <=> first)").select("page", "digest", F.col("first").alias("refers_to")).distinct()
+    long = seen.where(F.col("bytes") >= least_bytes)
+    first = long.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    revisits = long.join(first, "digest").where("not (page <=> first)").select("page", "digest", F.col("first").alias("refers_to"), F.lit(False).alias("again"))
+    many = seen.groupBy("page").count().where("count > 1").select(F.col("page").alias("p"))
+    again = seen.join(small_side(many), F.col("page").eqNullSafe(F.col("p"))).select("page", "digest", F.lit(None).cast(seen.schema["page"].dataType).alias("refers_to"), F.lit(True).alias("again"))
+    return revisits.unionByName(again).groupBy("page", "digest").agg(F.max("refers_to").alias("refers_to"), F.max("again").alias("again"))
 
 
 def write_bundles(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write a record per row into bundles: a table (bundle_id, content,
-    records) in the shared folder.  A null payload is empty; a null id gives
-    the record id ``urn:page:null``; repeated rows give repeated records; other
+    records) in the shared folder.
+
+    A null payload is empty.  Each record has a name of its own: ``urn:page:``
+    and the id, ``urn:null-page`` for a null id, and where several rows have
+    one id, the place where the row was written behind that; a revisit names
+    the page that it refers to by its id, whatever rows have that.  Rows that
+    repeat an id and a payload are all responses, or all revisits.  Other
     columns are not read."""
-    revisits = mark_revisits(pages, least_bytes, id_col, payload_col)
+    marks = mark_rows(pages, least_bytes, id_col, payload_col)
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").alias("page"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    rows = rows.join(revisits.withColumnRenamed("page", "p").withColumnRenamed("digest", "d"), F.col("page").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    rows = rows.join(marks.withColumnRenamed("page", "p").withColumnRenamed("digest", "d"), F.col("page").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
     index = pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("frame_start", pa.int64()), ("frame_length", pa.int64()), ("start", pa.int64()), ("length", pa.int64())]))
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +182,13 @@ def write_bundles(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
             content = w.finish()
             return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(content).hexdigest()]), pa.array([content], pa.binary()), pa.array([w.index], index)], names=["bundle_id", "content", "records"])
 
-        w = BundleWriter(frame_bytes)
+        w, n = BundleWriter(frame_bytes), 0
         for b in batches:
-            page, url, body, refers = (b.column(i) for i in range(4))
+            page, url, body, refers, again = (b.column(i) for i in range(5))
             for i in range(b.num_rows):
                 r = refers[i].as_py()
-                record_id = _record_id(page[i].as_py())
+                n += 1
+                record_id = _record_id(page[i].as_py(), f"{TaskContext.get().partitionId()}-{n}" if again[i].as_py() else "")
                 w.add(record_id, record_bytes(record_id, url[i].as_py(), body[i].as_py(), None if r is None else _record_id(r)))
                 if w.size() >= bundle_bytes:
                     yield done(w)
@@ -177,7 +196,7 @@ def write_bundles(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
         if w.size():
             yield done(w)
 
-    return materialize(rows.select("page", "url", "payload", "refers_to").mapInArrow(bundles, BUNDLES), "warc")
+    return materialize(rows.select("page", "url", "payload", "refers_to", "again").mapInArrow(bundles, BUNDLES), "warc")
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
@@ -214,6 +233,31 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
     return bundles.mapInArrow(records, ddl)
 
 
+def find_records(bundles: DataFrame, record_ids: DataFrame) -> DataFrame:
+    """(record_id, record_type, refers_to, url, payload) of the records that a
+    column ``record_id`` names: the index tells their frames, and no other
+    frame is decompressed.  A revisit's payload is empty."""
+    wanted = record_ids.select("record_id").where("record_id is not null").distinct()
+    places = bundles.select("bundle_id", F.inline("records")).join(small_side(wanted), "record_id")
+    places = places.groupBy("bundle_id").agg(F.collect_list(F.struct("frame", "start", "length")).alias("places"))  # at most a bundle's records
+    found = bundles.select("bundle_id", "content").join(small_side(places), "bundle_id").select("content", "places")
+    ddl = "record_id string, record_type string, refers_to string, url string, payload binary"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for content, at in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                raw = content.as_py()
+                for x in at:
+                    fields, _, payload = parse_record(read_record(raw, x["frame"], x["start"], x["length"]))
+                    refers = fields.get("WARC-Refers-To")
+                    out.append((fields["WARC-Record-ID"][1:-1], fields["WARC-Type"], refers and refers[1:-1], fields.get("WARC-Target-URI"), payload))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["record_id", "record_type", "refers_to", "url", "payload"])
+
+    return found.mapInArrow(read, ddl)
+
+
 def export(bundles: DataFrame, folder: str) -> DataFrame:
     """Write each bundle as ``<bundle_id>.warc.zst`` into a folder that all
     executors share, by renaming whole files; (bundle_id, path) of all files."""
@@ -237,11 +281,10 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     payload_digest, record_type, refers_to."""
     kind = pages.schema["page_id"].dataType
     got = read_bundles(write_bundles(pages, least_bytes))
-    number = lambda c: F.substring_index(F.col(c), "urn:page:", -1)
     return got.select(
-        F.when(number("record_id") != "null", number("record_id")).cast(kind).alias("page_id"),
+        page_of(F.col("record_id")).cast(kind).alias("page_id"),
         "payload_bytes",
         "payload_digest",
         "record_type",
-        number("refers_to").cast(kind).alias("refers_to"),
+        page_of(F.col("refers_to")).cast(kind).alias("refers_to"),
     )

@@ -119,7 +119,24 @@ def test_votes_equal_brute_force():
 
 def test_repeats_are_terms():
     got = quality.term_counts([b"a a b a\nx\nx", None, b""])
-    assert list(got[0, -3:]) == [2, 3, 1] and not got[1:].any()
+    assert list(got[0, quality.GROUPS[1] : quality.GROUPS[2]]) == [2, 3, 1] and not got[1:].any()
+    assert got[0, quality.GROUPS[2] : quality.GROUPS[3]].sum() == 6 and got[0, quality.GROUPS[3] :].sum() == 5
+
+
+def test_labels_that_only_the_words_tell():
+    """Held-out texts of the same shapes, letters, lengths and marks, which differ in their words alone."""
+    rng = random.Random(4)
+    letters = lambda: "".join(rng.sample("abcdefghijklmnop", 5))
+    common, good, bad = ([letters() for _ in range(n)] for n in (60, 150, 150))
+
+    def text(label):
+        own = good if label else bad
+        return " ".join(rng.choice(own if rng.random() < 0.3 else common) + rng.choice(["", "", "", ",", "."]) for _ in range(rng.randint(60, 200))).encode()
+
+    labels = [rng.randint(0, 1) for _ in range(500)]
+    texts = [text(x) for x in labels]
+    model = quality.fit_latent(texts[:300], labels[:300])
+    assert np.mean((model.scores(texts[300:]) >= 0.5) == np.array(labels[300:])) > 0.95
 
 
 # --- language models ---
@@ -232,6 +249,12 @@ def test_one_record_costs_one_frame(spark, pages, tmp_path):
         for x in b.records:
             record = warc.read_record(content, x.frame, x.start, x.length)
             assert warc.parse_record(record)[0]["WARC-Record-ID"] == f"<{x.record_id}>" and record in whole
+    names = [x.record_id for b in rows for x in b.records]
+    assert len(names) == len(set(names)) == pages.count()  # repeated and null ids, too
+    wanted = [n for n in names if n in ("urn:page:61", "urn:page:70", "urn:page:5") or "#" in n]
+    found = warc.find_records(bundles, spark.createDataFrame([(n,) for n in [*wanted, wanted[0], "urn:page:nobody", None]], "record_id string")).collect()
+    assert sorted(r.record_id for r in found) == sorted(wanted) and len(wanted) == 3 + 4
+    assert next(bytes(r.payload) for r in found if r.record_id == "urn:page:70") == ("é" * 400_000).encode()
     files = warc.export(bundles, str(tmp_path))
     assert files.count() == len(rows) == len(glob.glob(f"{tmp_path}/*.warc.zst"))
 
@@ -293,9 +316,123 @@ def test_every_language_takes_part(spark):
     assert len(got) == 140 and all(r.lang == (langs * 2)[r.doc_id] for r in got)
 
 
+def test_posteriors_equal_brute_force(spark):
+    """The fusion of all evidence, in plain Python, for pages with ties, nulls and repeats and for documents."""
+    rng = random.Random(21)
+    syllables = {"aa": ["ka", "to", "mi"], "bb": ["schl", "ung", "ich"], "cc": ["oo", "ka", "ung"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(2)) for _ in range(n))
+    langs = sorted(syllables)
+    model = langid.TextModel([langid.packed_trigrams(text(x, 60).encode()) for x in langs * 5], langs * 5)
+    pages = []
+    for i in range(60):
+        x = rng.choice(langs)
+        mark = rng.choice([f' lang="{rng.choice(langs)}"', f' lang="{x}"', ""])
+        url = rng.choice([f"http://h{i % 3}.{x}.example/{i}", f"https://h{i % 2}.d{i % 3}.org/", "odd", None])
+        pages.append((i, url, rng.choice([f"<html{mark}><body>{text(x, rng.choice([0, 1, 5]))}</body></html>"] * 4 + [None, ""])))
+    pages += [pages[0], pages[0], (None, "http://h0.aa.example/", "ka")]
+    docs = [(i, text(rng.choice(langs), rng.choice([0, 1, 4])) or None, rng.choice(["s1", "s2", None])) for i in range(30)]
+    said = []
+    for i, url, body in pages:
+        host, domain, suffix = langid.host_parts(url)
+        said.append((None, i, host, domain, suffix, langid.declared_language(body or ""), model.likelihoods(langid.visible_text(body or "").encode())))
+    for i, body, source in docs:
+        said.append((i, None, source and "source:" + source, source and "source:", None, None, model.likelihoods((body or "").encode())))
+    share = [np.exp(x[-1]) / np.exp(x[-1]).sum() for x in said]
+    n = len(langs)
+    prior = (sum(share) + 1) / (len(said) + n)
+
+    def others(k, at, column):
+        """Count and shares of all rows that have this row's value, without its own."""
+        value = said[at][column]
+        same = [share[j] for j in range(len(said)) if value is not None and j != at and said[j][column] == value]
+        return len(same), sum(same, np.zeros(n))
+
+    want = []
+    for at, x in enumerate(said):
+        domain_n, domain = others(n, at, 3)
+        base = (domain + langid.PSEUDO * prior) / (domain_n + langid.PSEUDO)
+        host_n, host = others(n, at, 2)
+        score = x[-1] + np.log((host + langid.PSEUDO * base) / (host_n + langid.PSEUDO))
+        for column in (5, 4):
+            k, sums = others(n, at, column)
+            score = score + np.log((sums + langid.PSEUDO * prior) / (k + langid.PSEUDO) / prior)
+        p = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        want.append((str(x[0]), str(x[1]), langs[int(p.argmax())], float(p.max()), langs[int(x[-1].argmax())] if (x[-1] < 0).any() else None))
+    got = langid.identify(
+        spark.createDataFrame(pages, "page_id bigint, url string, html string"), spark.createDataFrame([(*d, "aa") for d in docs], "doc_id bigint, text string, source string, lang string"), model=model
+    ).collect()
+    got = sorted((str(r.doc_id), str(r.page_id), r.lang, r.confidence, r.text_lang) for r in got)
+    for g, w in zip(got, sorted(want, key=lambda w: (w[0], w[1], w[2], w[3])), strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], rel=1e-6) and g[4] == w[4]
+
+
+def test_samples_are_stratified(spark):
+    """A language of few texts, one of an id with two languages, and repeated rows: always the same model."""
+    rng = random.Random(3)
+    rows = [(i, f"text {rng.random()} of aa", "aa") for i in range(900)] + [(1000 + i, f"bb words {rng.random()}", "bb") for i in range(30)] + [(2000, "twice", "cc"), (2000, "twice", "bb"), (2000, "twice", "cc"), (2001, None, "dd"), (None, "x", "ee")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sizes = []
+    for parts in (1, 7):
+        model = langid.learn_texts(df.repartition(parts), 60)
+        assert model.langs == ["aa", "bb"]  # an id's first language by name counts
+        sizes.append(model.log_p)
+    assert (sizes[0] == sizes[1]).all()
+
+
 # --- the pipeline ---
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Near duplicates, contaminated documents and secrets, against plain loops over sets and characters."""
+    import corpus_pipeline
+
+    from test_sets import brute, brute_hits
+    from test_texts import brute_added, brute_base
+
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice(["an", "er", "th", "on", "st", "re"]) for _ in range(rng.randint(1, 4)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(4, 30)))) for i in range(6)]
+    texts = [" ".join(word() for _ in range(rng.randint(0, 90))) for _ in range(50)]
+    for _ in range(60):
+        w = rng.choice(texts).split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randint(0, len(w)) :][:1] = []
+            w.insert(rng.randint(0, len(w)), rng.choice([word(), rng.choice(items)[1], "Kx7" + "".join(rng.choice("abcXYZ0123456789") for _ in range(40)), "token=" + "ab12" * 9]))
+        texts.append(" ".join(w))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(500, None, "en", "s", None), (501, "", "en", "s", 0), (None, texts[3], "en", None, 1), (7, texts[8], "en", "s", 1)]
+    rows += [rows[2], rows[2]]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    stages = dict(corpus_pipeline.STAGES)
+    # Each row a document of its own: of rows that repeat an id and a text, the first.
+    distinct = list({(r[0], r[1]) if r[0] is not None else ("null", k): r for k, r in reversed(list(enumerate(rows)))}.values())
+    at, _ = brute([(k, r[1]) if r[0] is not None else (None, None) for k, r in enumerate(distinct)], 5)
+    least = {}
+    for k, r in enumerate(distinct):
+        if r[0] is not None:
+            least[at[k]] = min(least.get(at[k], r[0]), r[0])
+    kept = [r for k, r in enumerate(distinct) if r[0] is None or least[at[k]] == r[0]]
+    key = lambda r: (str(r[0]), str(r[1]))
+    docs = stages["near_dedup"](spark, docs, str(tmp_path))
+    assert sorted(map(key, docs.collect())) == sorted(map(key, kept))
+    kept = [r for r in kept if not brute_hits([(0, r[1])], items)]
+    docs = stages["benchmark_decontamination"](spark, docs, str(tmp_path))
+    assert sorted(map(key, docs.collect())) == sorted(map(key, kept)) and len(kept) > 20
+    masked = []
+    for r in kept:
+        spans = sorted((a, b) for _, a, b in brute_base(r[1] or "") + brute_added(r[1] or ""))
+        out, end = "", 0
+        for a, b in spans:
+            if a >= end:
+                out += r[1][end:a] + "[secret]"
+            end = max(end, b)
+        masked.append((r[0], r[1] and out + r[1][end:]))
+    docs = stages["secret_scans"](spark, docs, str(tmp_path))
+    assert sorted(map(key, docs.collect())) == sorted(map(key, masked)) and masked != [r[:2] for r in kept]
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in docs.collect())
+
+
 def test_pipeline(spark, edges, tmp_path):
     import corpus_pipeline
 
