@@ -24,24 +24,31 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that score 0.3 or more.  A null or empty text has no terms
+    and gets the mean label of the sample; repeated rows all stay, or all go."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group stays; of rows that repeat an id, all do."""
-    dropped = neardup.near_duplicates(docs).where("not kept").select("doc_id", F.lit(True).alias("__drop")).distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """The smallest id of each group of near duplicates, by shingles of five
+    words; of rows that repeat an id and a text one stays.  Null and empty
+    texts, and rows without an id, are in no group."""
+    return neardup.without_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that contain no benchmark item; null and empty texts contain none."""
     return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked and n_chars in step; null texts stay null."""
     return _columns(secrets.redact_secrets(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences; a null or
+    empty text is one piece, of an end token alone."""
     path = lambda name: str(public_tokenizers.path(name))
     return packing.pack_documents(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
