@@ -82,7 +82,7 @@ grammar input:
     "execution_xml_whole": Query(
         ("region",), "SELECT r_regionkey AS k, concat(r_name, '\n') AS text FROM region ", _LINES, "SELECT k, execution FROM {n}",
         """SELECT r_regionkey AS k, replace('<?xml version="1.0" encoding="UTF-8"?>~<execution consumed="' || n || '">~  <actions>~    <action name="out.create">~      <args>~        <arg>line</arg>~        <arg>$0</arg>~      </args>~    </action>~  </actions>~  <traces>~    <trace>match consumed ' || n
-        || ' chars</trace>~  </traces>~  <captures>~    <scope index="0">~      <value name="">' || r_name || '</value>~      <value name="">~</value>~    </scope>~  </captures>~  <output>~    <node name="">~      <node name="line">' || r_name || '</node>~    </node>~  </output>~  <error>~  </error>~</execution>~', '~', chr(10)) AS execution
+        || ' chars</trace>~  </traces>~  <captures>~    <scope index="0">~      <value name="">' || r_name || '</value>~      <value name="">~</value>~    </scope>~  </captures>~  <output>~    <node name="">~      <node name="line">' || r_name || '</node>~    </node>~  </output>~  <error>~  </error>~</execution>', '~', chr(10)) AS execution
         FROM (SELECT *, length(r_name) + 1 AS n FROM region)""",
         how="execution", fmt="xml",
     ),
