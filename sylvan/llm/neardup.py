@@ -12,16 +12,18 @@ that, an exact bound on the intersection is taken from bitmaps: a bit that only
 one of two documents has stands for at least one shingle that only it has.  No
 bucket is handed on as all its pairs.  Documents with equal sets collapse
 first; in each bucket the most central document is compared with the others.
-Only buckets whose documents are still in different components go on: those of
-at most ``SMALL_BUCKET`` documents are compared pair by pair, once for all
-tables that two documents share.  The documents of larger ones are joined on
-the rarest of their shingles instead: of two sets that are similar enough, each
-has one of the other's ``n - need + 1`` rarest, whatever they hold of a text
-that thousands share, so that no link is lost.
+Only buckets whose documents are still in different components go on.  Where at
+most ``SMALL_BUCKET`` documents are outside of a bucket's main component, these
+are compared with all of the bucket, once for all tables that two documents
+share.  The documents of other buckets are joined on the rarest of their
+shingles instead: of two sets that are similar enough, each has one of the
+other's ``n - need + 1`` rarest, whatever they hold of a text that thousands
+share, so that no link is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -35,8 +37,10 @@ from .components import connected_components
 HALVES, ROWS = 12, 2
 #: Bits of the bitmaps, in numbers of 64.
 BITMAP = 32
-#: Documents of a bucket that are compared pair by pair, at most.
+#: Documents outside of a bucket's main part that are compared with all of it, at most.
 SMALL_BUCKET = 64
+#: Frequent shingles that tasks know of: 16 bytes each.
+FREQUENT = 200_000
 _PAIRS = [(i, j) for i in range(HALVES) for j in range(i + 1, HALVES)]
 
 
@@ -132,42 +136,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _meetings(loose: DataFrame, bounds: DataFrame, halves: DataFrame, percent: int) -> DataFrame:
-    """(node_a, node_b) of buckets (key, table, node, part) of a bounded size:
-    documents of different parts within the bounds, each pair once."""
+    """(node_a, node_b) of buckets (key, table, node, part, main) that have few
+    documents outside of their main part: these with all others of the bucket,
+    within the bounds, once for all tables that two documents share."""
     full = loose.join(bounds, "node").join(halves, "node")
-    meet = (F.col("part_a") < F.col("part_b")) & _first_meeting() & _in_bound(percent)
-    return _side(full, "a").join(_side(full, "b"), "key").where(meet).select("node_a", "node_b").distinct()
+    once = (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main_a")) | (F.col("node_a") < F.col("node_b")))
+    pairs = _side(full.where("part <> main"), "a", "key").join(_side(full.drop("main"), "b", "key"), "key").where(once & _first_meeting() & _in_bound(percent))
+    return pairs.select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")).distinct()
+
+
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that are frequent among ``docs``, and how frequent: at
+    most FREQUENT of them, counted over one document in 16.  They only order
+    the shingles, and any order finds the same links; a good one finds them soon."""
+    some = docs.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0).select(F.explode("shingles").alias("s"))
+    got = some.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT).toArrow()
+    s, n = got.column("s").to_numpy(), got.column("count").to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
 
 
 def rare_meetings(docs: DataFrame, percent: int) -> DataFrame:
     """(node_a, node_b): a superset of the similar pairs of different parts
     among ``docs`` (node, part, n, shingles), found by exact filters.
 
-    With each set's shingles sorted from rare to frequent, the first that two
-    similar sets share comes early in both: so early that what is behind it
-    still suffices (``need`` of either's shingles at least, and by both sizes
-    for the pair itself).  The smaller set of a pair is looked up by fewer
-    shingles than the larger one, as more than ``need`` of it must be shared.
-    A shingle's most frequent part isn't joined with itself, and sizes within
-    the bound fall into the same or neighbouring bands.
+    With each set's shingles in one order, from rare to frequent, the first
+    that two similar sets share comes early in both: so early that what is
+    behind it still suffices (``need`` of either's shingles at least, and by
+    both sizes for the pair itself).  The smaller set of a pair is looked up by
+    fewer shingles than the larger one, as more than ``need`` of it must be
+    shared.  A shingle's most frequent part isn't joined with itself, and sizes
+    within the bound fall into the same or neighbouring bands.
     """
-    entries = docs.select("node", "part", "n", F.explode("shingles").alias("s"))
-    often = entries.groupBy("s").agg(F.count("*").alias("often"), F.min("part").alias("p1"), F.max("part").alias("p2"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "s"))
-    as_larger = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
-    as_smaller = F.expr(f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
-    rare = entries.join(often, "s").withColumn("rank", rank).where((F.col("rank") <= as_larger) & (F.col("p1") < F.col("p2")))
+    frequent, counts = frequent_shingles(docs)
     # A step of the bands is the largest ratio of sizes that the bound allows.
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) + 1e-9)) if percent < 100 else F.col("n")
-    rare = materialize(rare.select("s", "node", "part", "n", "rank", (F.col("rank") <= as_smaller).alias("few"), band.alias("band")), "rare")
-    main = rare.groupBy("s", "part").count().groupBy("s").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+    step = float(np.log(100 / percent) + 1e-9) if percent < 100 else 1e-9
+    schema = "s bigint, node bigint, part bigint, n bigint, rank bigint, few boolean, band bigint"
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for node, part, n, shingles in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                s = shingles.values.to_numpy()
+                weight = np.zeros(len(s), dtype=np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                    weight = np.where(frequent[at] == s, counts[at], 0)
+                larger = n - -(-percent * n // 100) + 1
+                smaller = n - -(-2 * percent * n // (100 + percent)) + 1
+                first = s[np.lexsort((s, weight))[:larger]]
+                rank = np.arange(1, len(first) + 1)
+                for column, values in zip(out, (first, *(np.full(len(first), x) for x in (node, part, n)), rank, rank <= smaller, np.full(len(first), int(np.log(n) / step))), strict=True):
+                    column.append(values)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["s", "node", "part", "n", "rank", "few", "band"])
+
+    rare = materialize(docs.select("node", "part", "n", "shingles").mapInArrow(early, schema), "rare")
+    main = rare.groupBy("s", "part").count().groupBy("s").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     told = rare.join(main, "s").withColumn("minor", F.col("part") != F.col("main"))
     larger = _side(told.withColumn("at", F.explode(F.expr("array(band - 1, band)"))).drop("band", "few", "main"), "a", "s", "at")
     smaller = _side(told.where("few").withColumnRenamed("band", "at").drop("few", "main"), "b", "s", "at")
     need = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
     order = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-    early = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) >= need
-    meet = (F.col("part_a") != F.col("part_b")) & order & early & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    soon = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) >= need
+    meet = (F.col("part_a") != F.col("part_b")) & order & soon & (100 * F.col("n_b") >= percent * F.col("n_a"))
     pairs = [
         larger.where(a).join(smaller.where(b), ["s", "at"]).where(meet).select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b"))
         for a, b in (("minor_a", "true"), ("not minor_a", "minor_b"))
@@ -209,11 +241,12 @@ def place_documents(df: DataFrame, width: int, percent: int, text_col: str, id_c
 
     # Documents of a bucket that are in different components now are compared with each other.
     part = connected_components(links, "node_a", "node_b")
-    placed = shared.join(part, "node", "left").select("key", "table", "size", "node", F.coalesce("component", "node").alias("part"))
-    open_keys = placed.groupBy("key").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2").select("key")
+    placed = shared.join(part, "node", "left").select("key", "table", "node", F.coalesce("component", "node").alias("part"))
+    parts = placed.groupBy("key", "part").count().groupBy("key")
+    open_keys = parts.agg(F.max_by("part", F.struct("count", "part")).alias("main"), (F.sum("count") - F.max("count")).alias("minor")).where("minor > 0")
     loose = materialize(placed.join(open_keys, "key"), "loose")
-    few = _meetings(loose.where(F.col("size") <= SMALL_BUCKET).drop("size"), bounds, classes.select("node", "halves"), percent)
-    many = loose.where(F.col("size") > SMALL_BUCKET).select("node", "part").distinct().join(sets.select("node", "n", "shingles"), "node")
+    few = _meetings(loose.where(F.col("minor") <= SMALL_BUCKET).drop("minor"), bounds, classes.select("node", "halves"), percent)
+    many = loose.where(F.col("minor") > SMALL_BUCKET).select("node", "part").distinct().join(sets.select("node", "n", "shingles"), "node")
     meetings = rare_meetings(many, percent)
     more = meetings.join(_side(bounds, "b"), "node_b").join(_side(bounds, "a"), "node_a").where(_in_bound(percent)).select("node_a", "node_b")
     all_links = materialize(links.unionByName(_verified(few.unionByName(more).distinct(), sets, percent)), "links")
