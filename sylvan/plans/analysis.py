@@ -23,6 +23,13 @@ def _expressions(s: ast.Statement) -> Iterator[ast.Expression]:
         yield from c.args
 
 
+def patterns_of(source: ast.Source) -> list[ast.Pattern]:
+    """The distinct patterns of a program."""
+    found = [e for e in source.defines.values() if isinstance(e, ast.Pattern)]
+    found += [e for g in source.grammars.values() for s in g.statements for e in _expressions(s) if isinstance(e, ast.Pattern)]
+    return list(dict.fromkeys(found))
+
+
 def validate(source: ast.Source) -> list[Diagnostic]:
     """Warnings about names that nothing defines; errors for patterns that
     can't be compiled and parents that aren't there."""
@@ -36,9 +43,7 @@ def validate(source: ast.Source) -> list[Diagnostic]:
         for e in _expressions(s):
             if isinstance(e, ast.Name) and e.value not in source.defines:
                 out.append(Diagnostic("warning", f"undefined variable '{e.value}' in grammar '{name}'"))
-    patterns = [e for e in source.defines.values() if isinstance(e, ast.Pattern)]
-    patterns += [e for _, s in every for e in _expressions(s) if isinstance(e, ast.Pattern)]
-    for p in dict.fromkeys(patterns):
+    for p in patterns_of(source):
         try:
             to_python(p.value, ascii_only=True)
         except PatternError as e:

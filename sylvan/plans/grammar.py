@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import functools
 import json
+import warnings
 from dataclasses import dataclass, field
 
 from ..errors import Diagnostic, ValidationError
 from . import ast
-from .analysis import validate
+from .analysis import patterns_of, validate
+from .dialect import nests_repeats
 from .parser import parse
 
 #: Bytes that one pattern can span, unless told otherwise.
@@ -36,6 +38,9 @@ class Grammar:
         for d in found:
             if d.severity == "error":
                 raise ValidationError(d.message, d.span)
+        for p in patterns_of(source):
+            if nests_repeats(p.value):
+                warnings.warn(f"the pattern /{p.value}/ nests unlimited repeats, which can take time that doubles with each character", stacklevel=2)
         return cls(text, preserve_case, DEFAULT_WINDOW if search_window is None else search_window, source, tuple(found))
 
     def __reduce__(self):

@@ -1,4 +1,5 @@
 import pickle
+import warnings
 
 import pytest
 
@@ -208,6 +209,10 @@ def test_sets_of_code_points():
 @pytest.mark.parametrize(("pattern", "nested"), [("(a+)+b", True), ("(?:a*)*", True), ("((a|b+))*", True), ("(a+b)+", False), ("a+b*", False), ("(a{2})+", False)])
 def test_nested_repeats_are_told(pattern, nested):
     assert nests_repeats(pattern) == nested
+    with warnings.catch_warnings(record=True) as told:
+        warnings.simplefilter("always")
+        Grammar.compile(f"grammar input:\n    match /{pattern}/:\n        out.add('x')\n")
+    assert bool(told) == nested
 
 
 @pytest.mark.parametrize("pattern", ["(?=a)", "(?<!a)", r"(a)\1", "a++", "a*+", r"\q", "(", "[", "a)", "*a", r"\p{Nonsense}", r"\p{", "[z-a]", r"[a-\d]", "[[:nonsense:]]", "[a", r"\x{110000}"])
