@@ -66,8 +66,8 @@ def discard(*tables: DataFrame) -> None:
         store.delete(at, True)
 
 
-#: Rows of keys that are broadcast at most: some 50 MB in memory.
-SMALL_ROWS = 1_000_000
+#: Rows of keys that are broadcast at most: some 100 MB in memory.
+SMALL_ROWS = 250_000
 
 
 def small_side(df: DataFrame) -> DataFrame:

@@ -32,8 +32,13 @@ class Band:
     least_tokens: int = 100
 
 
-#: By script.  Latin prose in a vocabulary of 32,000 pieces has two to five
-#: characters a token; scripts that it covers badly fall back to bytes.
+#: By script.  Measured for Latin script on labelled texts of 50 words and more
+#: in four languages: 3,243 good ones have 1.97 to 2.83 characters a token, no
+#: fallback and 5.55 to 7.1 bits a token; of 548 bad ones, 39 per cent lie below
+#: 5 bits.  The band leaves half a bit below the least of the good ones, and room
+#: for other prose, which has up to five characters a token.  No labelled texts
+#: of other scripts were at hand: their bands only keep out what the vocabulary
+#: can't say anything of.
 BANDS = {
     "latin": Band((1.9, 7.0), 0.10, (5.0, 12.0)),
     "cyrillic": Band((1.2, 6.0), 0.15, (4.5, 12.0)),
