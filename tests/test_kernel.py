@@ -209,3 +209,27 @@ def test_any_input_ends(s, window):
 def test_lines(text):
     r = run("define nl /\\n/\ngrammar input:\n    match /[^\\n]*/ nl | /[^\\n]+/:\n        out.create('line', '$0')\n", text)
     assert [c.text for c in r.tree.root.children] == [x for x in text.split("\n")][: -1 if text.endswith("\n") or not text else None]
+
+
+@given(st.lists(st.sampled_from(["ab", "abc", "abcd", "  x", "  xy", "  y", " ", "a", "é", "\n"]), max_size=12))
+def test_rules_are_chosen_by_what_stands_at_the_cursor(parts):
+    """The first rule that matches wins, however much of the literals is looked at to choose it."""
+    literals = ["abcd", "abc", "  xy", "  x", "  y", "ab", "a", " "]
+    body = "grammar input:\n" + "".join(f"    match '{x}':\n        out.add('all', '{i}')\n" for i, x in enumerate(literals)) + "    match /[^a ]/:\n        out.add('all', '.')\n"
+    text, at, want = "".join(parts), 0, ""
+    while at < len(text):
+        i = next((i for i, x in enumerate(literals) if text.startswith(x, at)), None)
+        want += "." if i is None else str(i)
+        at += 1 if i is None else len(literals[i])
+    assert tree(body, text) == ({"all": {"#text": want}} if want else {})
+    assert run(body, text + "a" + "b" * 3).error is not None
+
+
+def test_many_texts_at_the_cursor(monkeypatch):
+    from sylvan.operators import kernel
+
+    monkeypatch.setattr(kernel, "_PICKED", 3)
+    body = "grammar input:\n    match 'key' /\\d+/ /\\n/:\n        out.create('k', '$1')\n    match /[^\\n]*/ /\\n/:\n        out.create('o', '$0')\n"
+    text = "".join(f"key{i}\nke{i}\n{i}\n" for i in range(50))
+    got = tree(body, text)
+    assert [x["#text"] for x in got["k"]] == [str(i) for i in range(50)] and len(got["o"]) == 100
