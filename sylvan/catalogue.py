@@ -630,7 +630,14 @@ def sql_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(query, e=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-_FUNCTIONS = {f.__name__: f for f in (streaming_parse, whole_files, write_outputs, sql_function, sql_table_function)}
+def sql_nodes_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grammar as a function that gives arrays of nodes, in batches of texts."""
+    sql.register_nodes_function(spark, "event_node_array", Grammar.compile(_EVENT))
+    query = "SELECT e.event_id, n.attrs[0].value AS id, n.text AS value FROM {e} e LATERAL VIEW inline(event_node_array(concat(e.event_id, ' ', e.event_type, '\n'))) n WHERE n.depth = 1"
+    return spark.sql(query, e=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+_FUNCTIONS = {f.__name__: f for f in (streaming_parse, whole_files, write_outputs, sql_function, sql_table_function, sql_nodes_function)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -648,5 +655,6 @@ def oracle_sql() -> dict[str, str]:
         "whole_files": "SELECT event_id AS id, event_type AS value FROM events",
         "write_outputs": "SELECT unnest(['line:', '  ''#text'': ' || r_name]) AS line FROM region",
         "sql_function": "SELECT r_regionkey AS k, '<xml>' || chr(10) || '  <line>' || r_name || '</line>' || chr(10) || '</xml>' || chr(10) AS output FROM region",
+        "sql_nodes_function": "SELECT event_id, CAST(event_id AS VARCHAR) AS id, event_type AS value FROM events",
         "sql_table_function": "SELECT event_id, CAST(event_id AS VARCHAR) AS id, event_type AS value FROM events",
     }

@@ -5,11 +5,12 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import ParsingFailed
 from ..functions.writers import format_name, write_tree
 from ..plans.grammar import Grammar
-from .parse import NODES, _node_rows
+from .parse import _NODE_COLUMNS, NODES, _node_rows
 
 
 def register_function(spark: SparkSession, name: str, grammar: Grammar, fmt: str = "json", start: str = "input", strict: bool = False) -> None:
@@ -35,9 +36,26 @@ def register_function(spark: SparkSession, name: str, grammar: Grammar, fmt: str
     spark.udf.register(name, F.arrow_udf(convert, "string"))
 
 
+def register_nodes_function(spark: SparkSession, name: str, grammar: Grammar, start: str = "input") -> None:
+    """``name(text)`` gives the node rows of a text as an array, in batches of
+    texts: ``SELECT d.id, n.* FROM docs d LATERAL VIEW inline(name(d.text)) n``.
+    A null text gives null, of which ``inline`` makes no rows."""
+    kind = pa.list_(pa.struct([(c, t) for c, (t, _) in _NODE_COLUMNS.items()]))
+    names = list(_NODE_COLUMNS)
+
+    def convert(texts: pa.Array) -> pa.Array:
+        machine = grammar.machine()
+        rows = [None if t is None else [dict(zip(names, row, strict=True)) for row in _node_rows(machine.run(t, start))] for t in texts.to_pylist()]
+        return pa.array(rows, kind)
+
+    spark.udf.register(name, F.arrow_udf(convert, f"array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in StructType.fromDDL(NODES))}>>"))
+
+
 def register_table_function(spark: SparkSession, name: str, grammar: Grammar, start: str = "input") -> None:
     """``name(text)`` gives the node rows of a text, for lateral joins:
-    ``SELECT d.id, n.* FROM docs d, LATERAL name(d.text) n``."""
+    ``SELECT d.id, n.* FROM docs d, LATERAL name(d.text) n``.  Spark joins so
+    with functions of single rows only; :func:`register_nodes_function` runs in
+    batches."""
 
     class Nodes:
         def eval(self, text: str | None):
