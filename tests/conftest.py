@@ -2,6 +2,11 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
+
+# The first example of a test may load libraries, and machines may be busy.
+settings.register_profile("any-machine", deadline=None)
+settings.load_profile("any-machine")
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
