@@ -41,6 +41,8 @@ BITMAP = 32
 SMALL_BUCKET = 64
 #: Frequent shingles that tasks know of: 16 bytes each.
 FREQUENT = 200_000
+#: One in so many documents tells which shingles are frequent.
+ORDER_ONE_IN = 4
 _PAIRS = [(i, j) for i in range(HALVES) for j in range(i + 1, HALVES)]
 
 
@@ -147,9 +149,9 @@ def _meetings(loose: DataFrame, bounds: DataFrame, halves: DataFrame, percent: i
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that are frequent among ``docs``, and how frequent: at
-    most FREQUENT of them, counted over one document in 16.  They only order
-    the shingles, and any order finds the same links; a good one finds them soon."""
-    some = docs.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0).select(F.explode("shingles").alias("s"))
+    most FREQUENT of them, counted over one document in ORDER_ONE_IN.  They only
+    order the shingles, and any order finds the same links; a good one finds them soon."""
+    some = docs.where(F.pmod(F.xxhash64("node"), F.lit(ORDER_ONE_IN)) == 0).select(F.explode("shingles").alias("s"))
     got = some.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT).toArrow()
     s, n = got.column("s").to_numpy(), got.column("count").to_numpy()
     order = np.argsort(s)
