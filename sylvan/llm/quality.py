@@ -141,7 +141,7 @@ def _parts(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[list[byte
     """Lists of texts of at most ``most`` bytes, so that little is counted at once."""
     part, size = [], 0
     for t in texts:
-        if part and (size + len(t or b"") > most or len(part) == 256):
+        if part and (size + len(t or b"") > most or len(part) == 64):
             yield part
             part, size = [], 0
         part.append(t)
