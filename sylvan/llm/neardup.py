@@ -160,7 +160,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def rare_meetings(docs: DataFrame, percent: int) -> DataFrame:
     """(node_a, node_b): a superset of the similar pairs of different parts
-    among ``docs`` (node, part, n, shingles), found by exact filters.
+    among ``docs`` (node, part, n, shingles, bitmap), found by exact filters.
 
     With each set's shingles in one order, from rare to frequent, the first
     that two similar sets share comes early in both: so early that what is
@@ -168,7 +168,8 @@ def rare_meetings(docs: DataFrame, percent: int) -> DataFrame:
     both sizes for the pair itself).  The smaller set of a pair is looked up by
     fewer shingles than the larger one, as more than ``need`` of it must be
     shared.  A shingle's most frequent part isn't joined with itself, and sizes
-    within the bound fall into the same or neighbouring bands.
+    within the bound fall into the same or neighbouring bands.  The bitmaps'
+    bound is part of the join, so that pairs that it rules out are never rows.
     """
     frequent, counts = frequent_shingles(docs)
     # A step of the bands is the largest ratio of sizes that the bound allows.
@@ -195,13 +196,13 @@ def rare_meetings(docs: DataFrame, percent: int) -> DataFrame:
 
     rare = materialize(docs.select("node", "part", "n", "shingles").mapInArrow(early, schema), "rare")
     main = rare.groupBy("s", "part").count().groupBy("s").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    told = rare.join(main, "s").withColumn("minor", F.col("part") != F.col("main"))
+    told = rare.join(main, "s").withColumn("minor", F.col("part") != F.col("main")).join(docs.select("node", "bitmap"), "node")
     larger = _side(told.withColumn("at", F.explode(F.expr("array(band - 1, band)"))).drop("band", "few", "main"), "a", "s", "at")
     smaller = _side(told.where("few").withColumnRenamed("band", "at").drop("few", "main"), "b", "s", "at")
     need = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
     order = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
     soon = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) >= need
-    meet = (F.col("part_a") != F.col("part_b")) & order & soon & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    meet = (F.col("part_a") != F.col("part_b")) & order & soon & _in_bound(percent)
     pairs = [
         larger.where(a).join(smaller.where(b), ["s", "at"]).where(meet).select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b"))
         for a, b in (("minor_a", "true"), ("not minor_a", "minor_b"))
@@ -248,10 +249,9 @@ def place_documents(df: DataFrame, width: int, percent: int, text_col: str, id_c
     open_keys = parts.agg(F.max_by("part", F.struct("count", "part")).alias("main"), (F.sum("count") - F.max("count")).alias("minor")).where("minor > 0")
     loose = materialize(placed.join(open_keys, "key"), "loose")
     few = _meetings(loose.where(F.col("minor") <= SMALL_BUCKET).drop("minor"), bounds, classes.select("node", "halves"), percent)
-    many = loose.where(F.col("minor") > SMALL_BUCKET).select("node", "part").distinct().join(sets.select("node", "n", "shingles"), "node")
+    many = loose.where(F.col("minor") > SMALL_BUCKET).select("node", "part").distinct().join(sets, "node")
     meetings = rare_meetings(many, percent)
-    more = meetings.join(_side(bounds, "b"), "node_b").join(_side(bounds, "a"), "node_a").where(_in_bound(percent)).select("node_a", "node_b")
-    all_links = materialize(links.unionByName(_verified(few.unionByName(more).distinct(), sets, percent)), "links")
+    all_links = materialize(links.unionByName(_verified(few.unionByName(meetings).distinct(), sets, percent)), "links")
     discard(shared, sets, part, loose, meetings, links)
 
     whole = connected_components(all_links, "node_a", "node_b")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sylvan.llm import decontam, neardup
 from sylvan.llm.common import distinct_by_group, shingle_hashes
@@ -127,6 +128,16 @@ def test_many_pages_of_one_template(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(i, 2000) for i in range(2001, 2010)]
 
 
+def test_pairs_out_of_the_bitmaps_bound_are_no_rows(spark, monkeypatch):
+    """Documents that share half of their shingles and meet on them, as no order tells which are frequent."""
+    monkeypatch.setattr(neardup, "FREQUENT", 0)
+    rows = [(i, " ".join([f"t{j}" for j in range(70)] + [f"own{i}x{j}" for j in range(30)])) for i in range(40)]
+    rows += [(i, " ".join([f"n{j}" for j in range(100)] + [f"own{i}"])) for i in (40, 41)]
+    sets = neardup.shingle_sets(spark.createDataFrame(rows, "node bigint, text string"), 1, "text", ["node"])
+    got = neardup.rare_meetings(sets.select("node", F.col("node").alias("part"), "n", "shingles", "bitmap"), 80)
+    assert [tuple(r) for r in got.collect()] == [(40, 41)]
+
+
 def test_the_bitmap_bound_loses_nothing(spark):
     rng = random.Random(2)
     rows = []
