@@ -68,12 +68,28 @@ def discard(*tables: DataFrame) -> None:
 
 #: Rows of keys that are broadcast at most: some 100 MB in memory.
 SMALL_ROWS = 250_000
+#: The same for the tables of a graph's nodes, of which several are there at once.
+SMALL_NODES = 100_000
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """One side of a join: counted, then broadcast if it has at most
-    SMALL_ROWS rows, and merged if it has more."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df.hint("merge")
+def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
+    """One side of a join: counted, then broadcast if it has at most ``most``
+    rows (SMALL_ROWS), and merged if it has more."""
+    return F.broadcast(df) if df.count() <= (SMALL_ROWS if most is None else most) else df.hint("merge")
+
+
+def small_nodes(df: DataFrame) -> DataFrame:
+    """:func:`small_side` for at most SMALL_NODES rows.  Spark itself goes by
+    the bytes of a table's files, of which numbers take few, and by a fixed size
+    for arrays, and would send tables through the driver that are many times
+    as large in memory."""
+    return small_side(df, SMALL_NODES)
+
+
+def merged_nodes(df: DataFrame) -> DataFrame:
+    """A side of a join that isn't to be broadcast, though Spark may size it
+    low: merged if it has more than SMALL_NODES rows."""
+    return df if df.count() <= SMALL_NODES else df.hint("merge")
 
 
 def fresh(df: DataFrame, stem: str) -> str:

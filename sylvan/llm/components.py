@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, merged_nodes, small_nodes
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,14 +27,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         own = F.struct(F.xxhash64("u").alias("h"), F.col("u").alias("v"))
         hook = materialize(hook.select("u", F.least("m", own)["v"].alias("to")), "hooks")
         at = hook.select(F.col("u").alias("at"), F.col("to"))
-        left = hook.withColumnRenamed("to", "to_u")
-        right = hook.select(F.col("u").alias("v"), F.col("to").alias("to_v"))
+        left = small_nodes(hook.withColumnRenamed("to", "to_u"))
+        right = small_nodes(hook.select(F.col("u").alias("v"), F.col("to").alias("to_v")))
         moved = links.join(left, "u").join(right, "v").select(F.least("to_u", "to_v").alias("u"), F.greatest("to_u", "to_v").alias("v"))
         old = nodes, links, hook
-        nodes = materialize(nodes.join(at, "at", "left").select("node", F.coalesce("to", "at").alias("at")), "nodes")
+        nodes = materialize(nodes.join(small_nodes(at), "at", "left").select("node", F.coalesce("to", "at").alias("at")), "nodes")
         links = materialize(moved.where("u <> v").distinct(), "links")
         discard(*old)
     least = nodes.groupBy("at").agg(F.min("node").alias("component"))
-    out = materialize(nodes.join(least, "at").select("node", "component"), "components")
+    out = materialize(merged_nodes(nodes).join(least, "at").select("node", "component"), "components")
     discard(nodes, links)
     return out

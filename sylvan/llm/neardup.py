@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, distinct_by_group, fresh, map_texts, materialize, mix, shingle_hashes, small_side
+from .common import discard, distinct_by_group, fresh, map_texts, materialize, merged_nodes, mix, shingle_hashes, small_nodes
 from .components import connected_components
 
 HALVES, ROWS = 12, 2
@@ -141,7 +141,7 @@ def _meetings(loose: DataFrame, bounds: DataFrame, halves: DataFrame, percent: i
     """(node_a, node_b) of buckets (key, table, node, part, main) that have few
     documents outside of their main part: these with all others of the bucket,
     within the bounds, once for all tables that two documents share."""
-    full = loose.join(bounds, "node").join(halves, "node")
+    full = loose.join(bounds, "node").join(small_nodes(halves), "node")
     once = (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main_a")) | (F.col("node_a") < F.col("node_b")))
     pairs = _side(full.where("part <> main"), "a", "key").join(_side(full.drop("main"), "b", "key"), "key").where(once & _first_meeting() & _in_bound(percent))
     return pairs.select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")).distinct()
@@ -196,7 +196,7 @@ def rare_meetings(docs: DataFrame, percent: int) -> DataFrame:
 
     rare = materialize(docs.select("node", "part", "n", "shingles").mapInArrow(early, schema), "rare")
     main = rare.groupBy("s", "part").count().groupBy("s").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    told = rare.join(main, "s").withColumn("minor", F.col("part") != F.col("main")).join(docs.select("node", "bitmap"), "node")
+    told = merged_nodes(rare).join(main, "s").withColumn("minor", F.col("part") != F.col("main")).join(docs.select("node", "bitmap"), "node")
     larger = _side(told.withColumn("at", F.explode(F.expr("array(band - 1, band)"))).drop("band", "few", "main"), "a", "s", "at")
     smaller = _side(told.where("few").withColumnRenamed("band", "at").drop("few", "main"), "b", "s", "at")
     need = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
@@ -223,11 +223,11 @@ def place_documents(df: DataFrame, width: int, percent: int, text_col: str, id_c
 
     keyed = classes.select("node", F.inline(table_keys()))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = materialize(keyed.join(sizes, "key"), "shared")  # (key, node, table, size): buckets of two and more
+    shared = materialize(keyed.hint("merge").join(sizes, "key"), "shared")  # (key, node, table, size): buckets of two and more
 
     # The texts of the nodes in them: of each node its smallest id's, told by their digest from others of that id.
     chosen = classes.join(shared.select("node").distinct(), "node", "left_semi").select("id", "node", "digest")
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(small_side(chosen), "id").select("node", "digest", "text")
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(small_nodes(chosen), "id").select("node", "digest", "text")
     sets = shingle_sets(texts, width, "text", ["node", "digest"]).where("digest = set_digest").select("node", "n", "shingles", "bitmap")
     sets = materialize(sets, "sets")
     if sets.count() > sets.select("node").distinct().count():  # rows that repeat
@@ -235,16 +235,17 @@ def place_documents(df: DataFrame, width: int, percent: int, text_col: str, id_c
         discard(repeated)
     bounds = sets.select("node", "n", "bitmap")
 
+    wide = merged_nodes(shared)
     # In each bucket, the document with the most company is compared with all others.
     company = shared.groupBy("node").agg(F.sum("size").alias("company"))
-    centre = shared.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("node_a"))
-    stars = shared.join(centre, "key").where("node <> node_a").select("node_a", F.col("node").alias("node_b")).distinct()
+    centre = wide.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("node_a"))
+    stars = wide.join(centre, "key").where("node <> node_a").select("node_a", F.col("node").alias("node_b")).distinct()
     stars = stars.join(_side(bounds, "b"), "node_b").join(_side(bounds, "a"), "node_a").where(_in_bound(percent)).select("node_a", "node_b")
     links = materialize(_verified(stars, sets, percent), "links")
 
     # Documents of a bucket that are in different components now are compared with each other.
     part = connected_components(links, "node_a", "node_b")
-    placed = shared.join(part, "node", "left").select("key", "table", "node", F.coalesce("component", "node").alias("part"))
+    placed = shared.join(small_nodes(part), "node", "left").select("key", "table", "node", F.coalesce("component", "node").alias("part"))
     parts = placed.groupBy("key", "part").count().groupBy("key")
     open_keys = parts.agg(F.max_by("part", F.struct("count", "part")).alias("main"), (F.sum("count") - F.max("count")).alias("minor")).where("minor > 0")
     loose = materialize(placed.join(open_keys, "key"), "loose")
@@ -255,7 +256,7 @@ def place_documents(df: DataFrame, width: int, percent: int, text_col: str, id_c
     discard(shared, sets, part, loose, meetings, links)
 
     whole = connected_components(all_links, "node_a", "node_b")
-    grouped = classes.join(whole, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component"))
+    grouped = classes.join(small_nodes(whole), "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component"))
     least = grouped.groupBy("component").agg(F.min("id").alias("root"))
     roots = grouped.join(least, "component").select("digest", "root")
     alone = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("root")).otherwise(F.col("id"))
@@ -298,8 +299,8 @@ def without_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, te
     repeated = ids.where("rows > 1").select("id")
     own = F.col(f"`{id_col}`")
     columns = [f"`{c}`" for c in df.columns]
-    single = df.join(small_side(dropped.unionByName(repeated)).withColumnRenamed("id", "__id"), own == F.col("__id"), "left_anti")
-    again = df.join(small_side(repeated).withColumnRenamed("id", "__id"), own == F.col("__id"), "left_semi")
+    single = df.join(small_nodes(dropped.unionByName(repeated)).withColumnRenamed("id", "__id"), own == F.col("__id"), "left_anti")
+    again = df.join(small_nodes(repeated).withColumnRenamed("id", "__id"), own == F.col("__id"), "left_semi")
     digest = fresh(df, "set_digest")
     make = lambda texts: [_digests(*distinct_by_group(*shingle_hashes(texts, width)))]
     told = map_texts(again, text_col, df.columns, f"`{digest}` binary", make)

@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sylvan.llm import decontam, neardup
+from sylvan.llm import common, decontam, neardup
+from sylvan.llm import components as components_of
 from sylvan.llm.common import distinct_by_group, shingle_hashes
 from sylvan.llm.components import connected_components
 
@@ -248,3 +249,23 @@ def test_groups_of_copies_are_whole(spark):
     for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2).collect():
         got[r.component_id].add(r.doc_id)
     assert got[0] == set(range(300)) and len(got) == 601
+
+
+def test_tables_of_nodes_are_broadcast_by_their_rows_alone(spark, edges, monkeypatch):
+    """Spark sizes them by their files, or before an explode: too low."""
+    plans = {}
+    write = common.materialize
+
+    def spy(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(components_of, "materialize", spy)
+    monkeypatch.setattr(neardup, "materialize", spy)
+    monkeypatch.setattr(common, "SMALL_NODES", 0)
+    links = spark.createDataFrame([(i, i + 1) for i in range(9)], "a bigint, b bigint")
+    assert {r.component for r in connected_components(links).collect()} == {0}
+    assert not any("Broadcast" in p for name in ("nodes", "links", "components") for p in plans[name])
+    plans.clear()
+    neardup.near_duplicates(edges, width=2)
+    assert not any("Broadcast" in p for p in plans["shared"])
