@@ -134,6 +134,7 @@ def _rows_of(df: DataFrame, grammar: Grammar, keys: list[str], text_col: str, st
                 return got
 
             for i in range(batch.num_rows):
+                result = row = None  # frees a tree before the next one is built
                 text = batch.column(k)[i].as_py()
                 if text is None:
                     continue

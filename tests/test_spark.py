@@ -2,7 +2,9 @@ import glob
 import os
 import subprocess
 import sys
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +211,26 @@ def test_lowered_grammars_agree_with_the_kernel(spark, body):
         got, want = (sorted(map(str, rows.collect())) for rows in (linewise.nodes(df, g, ["k"], lower="always"), parse.nodes(df, g, ["k"])))
         assert got == want
         assert got == sorted(map(str, linewise.nodes(df, g, ["k"]).collect()))
+
+
+def test_one_tree_at_a_time_and_small_nodes(spark, monkeypatch):
+    """A batch of many documents takes hardly more memory than one of them."""
+    docs = spark.createDataFrame([(1, "x")], "k int, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: f)
+    g = Grammar.compile("grammar input:\n    match /\\d+/ /\\n/:\n        out.add('part?id=\"$0\"', 'x')\n")
+    run = parse.nodes(docs, g, ["k"], columns=("depth",))
+    n = 60_000
+    text = "".join(f"{i}\n" for i in range(n))
+
+    def peak(copies):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(copies), pa.int32()), pa.array([text] * copies)], names=["k", "__text"])
+        tracemalloc.start()
+        try:
+            assert sum(b.num_rows for b in run(iter([batch]))) == copies * (n + 1)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    one = peak(1)
+    assert one < 350 * n
+    assert peak(3) < 1.2 * one
