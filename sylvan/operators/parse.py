@@ -22,6 +22,8 @@ from .kernel import Outcome
 MODES = ("PERMISSIVE", "FAILFAST", "DROPMALFORMED")
 #: Rows that one Arrow batch of nodes holds before it is handed on.
 BATCH_ROWS = 20_000
+#: Characters of outputs that one Arrow batch holds before it is handed on, unless one document has more.
+BATCH_CHARS = 1 << 22
 
 _ATTRS = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
 _DIAGNOSTICS = pa.list_(pa.struct([("severity", pa.string()), ("message", pa.string())]))
@@ -59,14 +61,26 @@ def _document(grammar: Grammar, start: str, text: str, fmt: str, wanted: tuple[s
             error = str(e)
     if error is not None and mode == "FAILFAST":
         raise ParsingFailed(error)
-    return {
-        "consumed": run.consumed,
-        "error": error,
-        "traces": run.traces,
-        "diagnostics": [{"severity": s, "message": m} for s, m in run.diagnostics],
-        "output": output,
-        "execution": write_run(run, fmt) if "execution" in wanted else None,
-    }
+    out: dict = {}
+    for w in wanted:
+        if w == "consumed":
+            out[w] = run.consumed
+        elif w == "error":
+            out[w] = error
+        elif w == "traces":
+            out[w] = run.traces
+        elif w == "diagnostics":
+            out[w] = [{"severity": s, "message": m} for s, m in run.diagnostics]
+        elif w == "output":
+            out[w] = output
+        else:
+            out[w] = write_run(run, fmt)
+    return out
+
+
+def _size(outputs: dict) -> int:
+    """About the characters that a document's outputs take."""
+    return sum(len(v) * (1 if isinstance(v, str) else 50) for v in outputs.values() if isinstance(v, str | list))
 
 
 def parse_column(grammar: Grammar, text: Column | str, fmt: str = "json", start: str = "input", columns: tuple[str, ...] = ("consumed", "error", "output"), mode: str = "PERMISSIVE") -> Column:
@@ -80,12 +94,20 @@ def parse_column(grammar: Grammar, text: Column | str, fmt: str = "json", start:
     kind = pa.struct([(c, OUTPUTS[c][1]) for c in columns])
 
     @F.arrow_udf(ddl)
-    def run(texts: pa.Array) -> pa.Array:
-        rows = []
-        for t in texts.to_pylist():
-            got = None if t is None else _document(grammar, start, t, fmt, columns, mode)
-            rows.append(got and {c: got[c] for c in columns})
-        return pa.array(rows, kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows, held = [], 0
+            for t in texts:
+                text = t.as_py()
+                got = None if text is None else _document(grammar, start, text, fmt, columns, mode)
+                rows.append(got)
+                held += got is not None and _size(got)
+                # An array of results may be shorter than that of the texts.
+                if held >= BATCH_CHARS:
+                    yield pa.array(rows, kind)
+                    rows, held = [], 0
+            if rows:
+                yield pa.array(rows, kind)
 
     return run(text if isinstance(text, Column) else F.col(text))
 

@@ -234,3 +234,17 @@ def test_one_tree_at_a_time_and_small_nodes(spark, monkeypatch):
     one = peak(1)
     assert one < 350 * n
     assert peak(3) < 1.2 * one
+
+
+def test_outputs_leave_in_batches_of_bounded_size(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(parse.F, "arrow_udf", lambda ddl: lambda f: made.append(f) or (lambda column: None))
+    monkeypatch.setattr(parse, "BATCH_CHARS", 1000)
+    g = Grammar.compile("grammar input:\n    match /\\d+/ /\\n/:\n        out.create('e', '$0')\n")
+    parse.parse_column(g, "text", "xml", columns=("execution", "consumed"))
+    texts = ["1\n" * 9, None, "", "2\n"] * 8
+    got = list(made[0](iter([pa.array(texts)])))
+    assert len(got) > 4
+    rows = [r for a in got for r in a.to_pylist()]
+    assert [r and r["consumed"] for r in rows] == [t if t is None else len(t) for t in texts]
+    assert all(r is None or r["execution"].startswith("<?xml") for r in rows)
