@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import sylvan
 from sylvan.errors import ParsingFailed
 from sylvan.functions import text as tx
-from sylvan.operators import linewise, parse
+from sylvan.operators import linewise, parse, sql
 from sylvan.plans.grammar import Grammar
 from sylvan.sources import files, sinks
 from sylvan.streaming.parse import parse_stream, read_text_stream
@@ -248,3 +248,12 @@ def test_outputs_leave_in_batches_of_bounded_size(spark, monkeypatch):
     rows = [r for a in got for r in a.to_pylist()]
     assert [r and r["consumed"] for r in rows] == [t if t is None else len(t) for t in texts]
     assert all(r is None or r["execution"].startswith("<?xml") for r in rows)
+
+
+def test_table_function_takes_pickled_rows(spark):
+    """Arrow's tables of single rows take several times as long."""
+    sql.register_table_function(spark, "some_nodes", Grammar.compile(LINES))
+    got = spark.sql("SELECT k, n.node_id, n.attrs, n.text FROM VALUES (1, 'Ab c\n\nd\n'), (2, NULL), (3, '') d(k, t), LATERAL some_nodes(t) n")
+    assert "ArrowEvalPythonUDTF" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r.k, r.node_id, [(a.key, a.value) for a in r.attrs], r.text) for r in got.collect())
+    assert rows == [(1, 0, [], None), (1, 1, [("first", "Ab")], "Ab c"), (1, 2, [], None), (1, 3, [], "d"), (3, 0, [], None)]
