@@ -600,13 +600,17 @@ def streaming_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("name = 'e'").selectExpr("event_id", "attrs[0].value AS id", "text AS value")
 
 
+#: Lines of a file that is read whole, as one document: a tree takes some 500 bytes a line.
+FILE_LINES = 100_000
+
+
 def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write a file of events for each type, read the files whole, and parse them."""
+    """Write files of events for each type, of at most FILE_LINES lines, read the files whole, and parse them."""
     base = scratch(spark)
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    table.selectExpr("event_type", "concat(event_id, ' ', event_type) AS line").write.partitionBy("event_type").text(f"{base}/files")
+    table.selectExpr("event_type", "concat(event_id, ' ', event_type) AS line").write.option("maxRecordsPerFile", FILE_LINES).partitionBy("event_type").text(f"{base}/files")
     docs = read_texts(spark, f"{base}/files/event_type=*/*.txt")
-    return parse.nodes(docs, Grammar.compile(_EVENT), ["file"]).where("name = 'e'").selectExpr("cast(attrs[0].value as bigint) AS id", "text AS value")
+    return parse.nodes(docs, Grammar.compile(_EVENT), ["file"], columns=("name", "text", "attrs")).where("name = 'e'").selectExpr("cast(attrs[0].value as bigint) AS id", "text AS value")
 
 
 def write_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:

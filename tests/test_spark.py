@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import sylvan
+from sylvan import catalogue
 from sylvan.errors import ParsingFailed
 from sylvan.functions import text as tx
 from sylvan.operators import linewise, parse, sql
@@ -257,3 +258,14 @@ def test_table_function_takes_pickled_rows(spark):
     assert "ArrowEvalPythonUDTF" not in got._jdf.queryExecution().executedPlan().toString()
     rows = sorted((r.k, r.node_id, [(a.key, a.value) for a in r.attrs], r.text) for r in got.collect())
     assert rows == [(1, 0, [], None), (1, 1, [("first", "Ab")], "Ab c"), (1, 2, [], None), (1, 3, [], "d"), (3, 0, [], None)]
+
+
+def test_whole_files_are_of_bounded_size(spark, tmp_path, monkeypatch):
+    sizes = []
+    read = catalogue.read_texts
+    monkeypatch.setattr(catalogue, "read_texts", lambda *a: sizes.extend(r.text.count("\n") for r in read(*a).collect()) or read(*a))
+    monkeypatch.setattr(catalogue, "FILE_LINES", 30)
+    spark.range(100).selectExpr("id AS event_id", "if(id % 3 = 0, 'a', 'b') AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.id, r.value) for r in catalogue.whole_files(spark, str(tmp_path)).collect()}
+    assert got == {(i, "b" if i % 3 else "a") for i in range(100)}
+    assert sum(sizes) == 100 and max(sizes) <= 30
