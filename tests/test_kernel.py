@@ -4,7 +4,9 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from sylvan.catalogue_language import SKIP_KINDS
 from sylvan.functions.writers import write_tree
+from sylvan.operators import kernel
 from sylvan.plans.grammar import Grammar
 
 
@@ -232,3 +234,29 @@ def test_many_texts_at_the_cursor(monkeypatch):
     text = "".join(f"key{i}\nke{i}\n{i}\n" for i in range(50))
     got = tree(body, text)
     assert [x["#text"] for x in got["k"]] == [str(i) for i in range(50)] and len(got["o"]) == 100
+
+
+@pytest.mark.parametrize("text", ["bcd aé fgh\nxyz", "bcd ae fgh\nxyz"])
+def test_texts_within_the_window_take_the_short_way(text, monkeypatch):
+    """No end of the window is looked for, and templates of one capture read it at once."""
+
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(kernel.Run, "capture", never)
+    monkeypatch.setattr(kernel.Run, "reach", never)
+    g = Grammar.compile("grammar input:\n    match /[\\p{L}&&[^aeiou]]+/:\n        out.add('all', '$0,')\n    skip /(?s:.)/\n", search_window=1 << 20)
+    got = g.machine().run(text)
+    assert got.error is None and got.consumed == len(text.encode())
+    assert got.tree.root.children[0].text == ("bcd,é,fgh,xyz," if "é" in text else "bcd,fgh,xyz,")
+
+
+@pytest.mark.parametrize("kind", range(len(SKIP_KINDS)))
+def test_first_skip_repeats_as_if_alone(kind):
+    text = "# a \n\n!b\r\n\r\nword 12\t .\n  \n\nlast \r\n" * 5
+    pattern = SKIP_KINDS[kind][1]
+    body = "    match /(?s:.{1,4})/:\n        out.add('rest', '$0')\n"
+    first = Grammar.compile(f"grammar input:\n    skip /{pattern}/\n{body}", search_window=1 << 20).machine()
+    second = Grammar.compile(f"grammar input:\n    match 'never':\n        do.skip()\n    skip /{pattern}/\n{body}", search_window=1 << 20).machine()
+    one, two = first.run(text), second.run(text)
+    assert (one.consumed, one.error, [(n.name, n.text) for n in one.tree.root.children]) == (two.consumed, two.error, [(n.name, n.text) for n in two.tree.root.children])
