@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import sylvan
-from sylvan import catalogue
+from sylvan import catalogue, catalogue_language
 from sylvan.errors import ParsingFailed
 from sylvan.functions import text as tx
 from sylvan.operators import linewise, parse, sql
@@ -269,3 +269,9 @@ def test_whole_files_are_of_bounded_size(spark, tmp_path, monkeypatch):
     got = {(r.id, r.value) for r in catalogue.whole_files(spark, str(tmp_path)).collect()}
     assert got == {(i, "b" if i % 3 else "a") for i in range(100)}
     assert sum(sizes) == 100 and max(sizes) <= 30
+
+
+def test_texts_move_once_for_all_skips(spark, tmp_path):
+    spark.createDataFrame([(1, "a. b\n")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = catalogue_language.skip_kinds(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.find("Generate") < plan.find("Exchange hashpartitioning")  # the exchange is below
