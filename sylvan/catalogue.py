@@ -600,7 +600,7 @@ def streaming_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("name = 'e'").selectExpr("event_id", "attrs[0].value AS id", "text AS value")
 
 
-#: Lines of a file that is read whole, as one document: a tree takes some 500 bytes a line.
+#: Lines of a file that is read whole, as one document with one tree.
 FILE_LINES = 100_000
 
 
